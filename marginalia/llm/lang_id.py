@@ -136,7 +136,7 @@ class Model:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
             self.rows = self.rows[:0]
-        fresh = list(set(words) - self.cache.keys())
+        fresh = list(set(words).difference(self.cache))
         if fresh:
             new = np.concatenate([self._fresh(fresh[lo : lo + CHUNK]) for lo in range(0, len(fresh), CHUNK)])
             new -= new.max(axis=1, keepdims=True)

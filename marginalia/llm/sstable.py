@@ -75,12 +75,12 @@ class ChunkEncoder:
             self.head.clear()
             self.tail.clear()
         parts = [t.split(" ") for t in texts]
-        heads = list({p[0] for p in parts} - self.head.keys())
+        heads = list({p[0] for p in parts}.difference(self.head))
         self.head.update(zip(heads, self._pack(heads), strict=True))
         fresh: set[str] = set()
         for p in parts:
             fresh.update(p[1:])
-        fresh -= self.tail.keys()
+        fresh = fresh.difference(self.tail)
         odd = {x for x in fresh if not x or x[0].isspace()}
         self.tail.update(dict.fromkeys(odd))
         good = list(fresh - odd)
