@@ -35,7 +35,7 @@ from marginalia.llm.common import SPACE, staged
 
 #: Target share of tokens by domain (quality, toxic).
 TARGETS = {"q1t0": 0.90, "q1t1": 0.04, "q0t0": 0.05, "q0t1": 0.01}
-VOCABULARY = 192
+VOCABULARY = 32
 #: Labelled documents that the classifier is fitted on, in the mean.
 SAMPLE = 8_000
 LEAST_COUNT = 5
@@ -172,7 +172,7 @@ def solve(rows: DataFrame, domains: list[str], targets: dict[str, float] | None
         gap = np.array([now[f"s{k}"] for k in range(size)]) - goal
         if np.abs(gap).sum() <= TOLERANCE * gram["n"]:
             break
-        # Twelve significant digits: sums in another order give the same steps.
+        # Nine significant digits: sums in another order give the same steps.
         steps.append(np.array([float(f"{v:.9g}") for v in metric @ gap]))
     return steps
 
