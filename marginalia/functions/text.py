@@ -343,10 +343,14 @@ def bibtex_escape(x: Column) -> Column:
     return out
 
 
+def qa_plain(x: Column) -> Column:
+    """A section's text without tokens, at most 2600 characters."""
+    return F.substring(F.regexp_replace(x, TOKEN, ""), 1, 2600)
+
+
 def qa_sentence(x: Column) -> Column:
-    """Tokens out, at most 2600 characters, white space single and none before punctuation."""
-    plain = F.substring(F.regexp_replace(x, TOKEN, ""), 1, 2600)
-    return F.regexp_replace(F.array_join(words(plain), " "), r"\s+([.,;:!?])", "$1")
+    """White space single, none before punctuation."""
+    return F.regexp_replace(F.array_join(words(x), " "), r"\s+([.,;:!?])", "$1")
 
 
 def chip_label(labels: Column) -> Column:

@@ -118,6 +118,6 @@ LINES_SQL = r"""lines AS (
   SELECT paper_id, CAST(line_no AS INTEGER) AS line_no, text, CAST(line_no // 12 AS INTEGER) AS page,
          CASE line_no % 12 WHEN 0 THEN 30.0 WHEN 11 THEN 760.0 ELSE 60.0 + 55.0 * (line_no % 12) END AS y0,
          CASE WHEN paper_id % 3 = 0 AND line_no % 12 >= 6 THEN 320.0 ELSE 72.0 END AS x0,
-         CASE WHEN line_no % 7 = 0 THEN 12.0 ELSE 10.0 END AS size, line_no % 5 = 0 AS bold, 612.0 AS page_width, 792.0 AS page_height
+         CASE WHEN line_no % 7 = 0 THEN 12.0::DOUBLE ELSE 10.0 END AS size, line_no % 5 = 0 AS bold, 612.0 AS page_width, 792.0 AS page_height
   FROM (SELECT doc_id AS paper_id, unnest(range(len(p))) AS line_no, unnest(p) AS text
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)))"""
