@@ -31,7 +31,11 @@ AUTHOR_START = r"(?U)^[A-Z][\w'\-]+,?\s+(?:[A-Z]\.|[A-Z][\w'\-]+)"
 BRACKET_ENTRY = r"\[(\d+)\]\s+(?=[A-Z])"
 DOT_NUMBER = r"^(\d{1,3})\.\s+(?=\S)"
 BAND = 0.08
-IN_ORDER = Window.partitionBy("paper_id").orderBy("line_no")
+
+
+def in_order():
+    """The lines of each paper in their order."""
+    return Window.partitionBy("paper_id").orderBy("line_no")
 
 
 def clean_spans(spans: DataFrame) -> DataFrame:
@@ -116,17 +120,17 @@ def heading_level(text: Column) -> Column:
 def merge_split_headings(lines: DataFrame) -> DataFrame:
     """A line that is just a number and the emphasised line beside it become one."""
     t = T.strip(F.col("text"))
-    after = {c: F.lead(c).over(IN_ORDER) for c in ("text", "page", "y0", "size", "bold")}
+    after = {c: F.lead(c).over(in_order()) for c in ("text", "page", "y0", "size", "bold")}
     rows = lines.withColumns({f"next_{c}": v for c, v in after.items()})
     nt = T.strip(F.col("next_text"))
     strong = (F.col("next_size") > F.col("body") + 0.3) | F.col("next_bold") | F.col("bold") | is_upper(nt)
     starts = t.rlike(NUMBER_ONLY) & (F.col("page") == F.col("next_page")) & (F.abs(F.col("y0") - F.col("next_y0")) < 3) & nt.rlike("^[A-Z]") & strong
     rows = rows.withColumn("wants", F.coalesce(starts, F.lit(False)))
     # A line that was taken cannot start a merge: in a run of wishes every second counts.
-    gap = F.max(F.when(~F.col("wants"), F.col("line_no"))).over(IN_ORDER)
+    gap = F.max(F.when(~F.col("wants"), F.col("line_no"))).over(in_order())
     nth = F.count_if("wants").over(Window.partitionBy("paper_id", "gap").orderBy("line_no"))
     rows = rows.withColumn("gap", F.coalesce(gap, F.lit(-1))).withColumn("nth", nth).withColumn("merges", F.col("wants") & (F.col("nth") % 2 == 1))
-    taken = F.coalesce(F.lag("merges").over(IN_ORDER), F.lit(False))
+    taken = F.coalesce(F.lag("merges").over(in_order()), F.lit(False))
     rows = rows.withColumn("taken", taken).where(~F.col("taken"))
     return rows.select(
         *[c for c in lines.columns if c not in ("text", "size", "bold")],
@@ -138,18 +142,18 @@ def merge_split_headings(lines: DataFrame) -> DataFrame:
 
 def title_of(lines: DataFrame) -> DataFrame:
     """The first three of the largest among the first 18 lines of page one."""
-    top = lines.where("page = 0").withColumn("k", F.row_number().over(IN_ORDER)).where("k <= 18")
+    top = lines.where("page = 0").withColumn("k", F.row_number().over(in_order())).where("k <= 18")
     t = T.strip(F.col("text"))
     top = top.where((F.char_length(t) > 3) & ~t.rlike(NUMBERED))
     top = top.withColumn("most", F.max("size").over(Window.partitionBy("paper_id"))).where("size >= most - 0.2")
-    top = top.withColumn("k", F.row_number().over(IN_ORDER)).where("k <= 3")
+    top = top.withColumn("k", F.row_number().over(in_order())).where("k <= 3")
     return top.groupBy("paper_id").agg(T.join_hyphenated(F.array_sort(F.collect_list(F.struct("k", "text")))["text"]).alias("title"))
 
 
 def sections(lines: DataFrame, body: DataFrame) -> DataFrame:
     """paper_id, section_id, sec_no, title, level, text; 'abstract' apart, text before headings dropped."""
     rows = lines.join(body, "paper_id").withColumn("head", is_heading(F.col("text")))
-    rows = rows.withColumn("sec_no", F.sum(F.col("head").cast("int")).over(IN_ORDER)).where("sec_no > 0")
+    rows = rows.withColumn("sec_no", F.sum(F.col("head").cast("int")).over(in_order())).where("sec_no > 0")
     per = Window.partitionBy("paper_id", "sec_no").orderBy("line_no")
     rows = rows.withColumn("heading", F.first_value("text").over(per))
     abstract = normalize_heading(F.col("heading")) == "abstract"
@@ -188,10 +192,10 @@ def reference_lines(lines: DataFrame, body: DataFrame) -> DataFrame:
     )
     after = rows.join(start.where("start is not null"), "paper_id").where("line_no > start")
     after = after.withColumn("row", is_table_row(F.col("text"))).withColumn("stop", ends_references(F.col("text")))
-    kept_before = F.coalesce(F.count_if(~F.col("row")).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    second = F.col("row") & F.coalesce(F.lag("row").over(IN_ORDER), F.lit(False)) & (kept_before > 0)
+    kept_before = F.coalesce(F.count_if(~F.col("row")).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    second = F.col("row") & F.coalesce(F.lag("row").over(in_order()), F.lit(False)) & (kept_before > 0)
     after = after.withColumn("end", F.col("stop") | second)
-    after = after.withColumn("over", F.max(F.col("end").cast("int")).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    after = after.withColumn("over", F.max(F.col("end").cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     return after.where("over = 0 and not row").select(*lines.columns)
 
 
@@ -203,7 +207,7 @@ def longest_citation_run(lines: DataFrame) -> DataFrame:
     if strictly longer.  Runs under five lines do not count.
     """
     n = F.count("*").over(Window.partitionBy("paper_id"))
-    i = F.row_number().over(IN_ORDER) - 1
+    i = F.row_number().over(in_order()) - 1
     rows = lines.withColumn("i", i).withColumn("n", n).where("i >= floor(2 * n / 3)").withColumn("i", F.col("i") - F.floor(2 * F.col("n") / 3))
     rows = rows.withColumn("m", F.col("n") - F.floor(2 * F.col("n") / 3))
     hits = rows.where(T.strip(F.col("text")).rlike(CITATION_SHAPED))
@@ -243,7 +247,7 @@ def split_block(blocks: DataFrame) -> DataFrame:
 
 def split_on_line_start(lines: DataFrame, pattern: str = DOT_NUMBER) -> DataFrame:
     """Entries that begin at each line with the pattern (the first line begins one anyway)."""
-    rows = lines.withColumn("k", F.sum(F.col("text").rlike(pattern).cast("int")).over(IN_ORDER))
+    rows = lines.withColumn("k", F.sum(F.col("text").rlike(pattern).cast("int")).over(in_order()))
     first = F.min("line_no").over(Window.partitionBy("paper_id"))
     lead_in = F.max(F.when(F.col("line_no") == F.col("first"), (F.col("k") == 0).cast("int"))).over(Window.partitionBy("paper_id"))
     rows = rows.withColumn("first", first).withColumn("k", F.col("k") + lead_in)
@@ -278,9 +282,9 @@ def author_year_entries(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("col", column_of()).join(starts, ["paper_id", "page", "col"], "left").join(any_start, "paper_id", "left")
     by_indent = F.coalesce(F.abs(F.bround("x0") - F.col("start")) <= 2, F.lit(False))
     begins = F.when(F.col("indent"), by_indent).otherwise(F.col("text").rlike(AUTHOR_START))
-    first = F.row_number().over(IN_ORDER) == 1
+    first = F.row_number().over(in_order()) == 1
     rows = rows.withColumn("begins", begins).withColumn("first", first)
-    rows = rows.withColumn("k", F.sum((F.col("begins") | F.col("first")).cast("int")).over(IN_ORDER))
+    rows = rows.withColumn("k", F.sum((F.col("begins") | F.col("first")).cast("int")).over(in_order()))
     per = Window.partitionBy("paper_id")
     rows = rows.withColumn("n_entries", F.max("k").over(per)).withColumn("n_lines", F.count("*").over(per))
     rows = rows.withColumn("remainder", (F.col("n_entries") <= 1) & (F.col("n_lines") > 4)).withColumn("k", F.when(F.col("remainder"), 0).otherwise(F.col("k")))
