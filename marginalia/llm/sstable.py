@@ -327,7 +327,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 if rows:
                     yield _frame(pd, rows)
 
-    spread = shards.select("path", "start").repartition(F.col("path"))
+    # A fixed number, since an adaptive plan would gather the short list of paths in one task.
+    width = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = shards.select("path", "start").repartition(width, F.col("path"))
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
