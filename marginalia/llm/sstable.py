@@ -28,8 +28,10 @@ from __future__ import annotations
 
 import bisect
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,11 @@ MAGIC = b"MGSST001"
 FOOTER = struct.Struct("<QQQQQQH6x8s")
 END_ID = 0
 #: Distinct chunks remembered by an encoder, about 150 bytes each.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 900_000
+
+
+#: Stands in tail for the first part of a text, whose ids come from head.
+_FIRST = object()
 
 
 class ChunkEncoder:
@@ -64,11 +70,35 @@ class ChunkEncoder:
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        #: Whether the token of an id begins with a space.
+        self.spaced = np.zeros(size, bool)
+        self.spaced[[i for x, i in self.tok.get_vocab().items() if x.startswith("\u0120")]] = True
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes | None] = {}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        out = [array(code, e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in out:
+                ids.byteswap()
+        return [ids.tobytes() for ids in out]
+
+    def _pack_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks behind a space each.  They are encoded as one text, which
+        saves a call per chunk, and told apart by the tokens that begin with a space."""
+        out: list[bytes] = []
+        for lo in range(0, len(chunks), 4096):
+            part = chunks[lo : lo + 4096]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) != len(part) or (len(at) and at[0]):
+                out += self._pack([" " + x for x in part])
+                continue
+            raw, w = ids.tobytes(), self.dtype.itemsize
+            edges = [*(at * w).tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip(edges, edges[1:])]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.tail) + len(self.head) > CACHE_CHUNKS:
@@ -77,21 +107,21 @@ class ChunkEncoder:
         parts = [t.split(" ") for t in texts]
         heads = list({p[0] for p in parts}.difference(self.head))
         self.head.update(zip(heads, self._pack(heads), strict=True))
-        fresh: set[str] = set()
-        for p in parts:
-            fresh.update(p[1:])
-        fresh = fresh.difference(self.tail)
-        odd = {x for x in fresh if not x or x[0].isspace()}
+        self.tail[_FIRST] = b""
+        fresh = set().union(*parts).difference(self.tail)
+        odd = {x for x in fresh if not x or x[0].isspace() or any(s in x for s in self.special)}
         self.tail.update(dict.fromkeys(odd))
         good = list(fresh - odd)
-        self.tail.update(zip(good, self._pack([" " + x for x in good]), strict=True))
+        self.tail.update(zip(good, self._pack_chunks(good), strict=True))
         out: list[bytes | None] = []
         for t, p in zip(texts, parts, strict=True):
-            if any(s in t for s in self.special):
-                out.append(None)
-                continue
-            found = [self.tail[x] for x in p[1:]]
-            out.append(None if None in found else self.head[p[0]] + b"".join(found))
+            first = self.head[p[0]]
+            p[0] = _FIRST
+            try:
+                ids = first + b"".join(map(self.tail.__getitem__, p))
+            except TypeError:  # None: a space that is no place to cut
+                ids = None
+            out.append(None if ids is None or any(s in t for s in self.special) else ids)
         whole = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(whole, self._pack([texts[i] for i in whole]), strict=True):
             out[i] = ids
