@@ -76,7 +76,7 @@ def sketch(shingles: np.ndarray, sketches: int = SKETCHES, keep: int = KEEP) ->
     """The bucket keys of a text."""
     n, keep = len(shingles), min(keep, len(shingles))
     out = np.empty(sketches, np.uint64)
-    step = sketches if n < 1 << 16 else 1
+    step = sketches if n < 1 << 14 else 1
     for lo in range(0, sketches, step):
         seeds = _SEEDS[lo : min(lo + step, sketches), None]
         v = mix(shingles[None, :] ^ seeds)
@@ -108,11 +108,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _shingles_of(texts: list[str]):
-    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
-    for part in groups(raw):
-        hashes, first = word_hashes(raw[part])
-        for k in range(len(first) - 1):
-            yield labelled_shingles(hashes[first[k] : first[k + 1]])
+    for lo in range(0, len(texts), 256):
+        raw = [(t or "").lower().encode("utf-8", "replace") for t in texts[lo : lo + 256]]
+        for part in groups(raw):
+            hashes, first = word_hashes(raw[part])
+            for k in range(len(first) - 1):
+                yield labelled_shingles(hashes[first[k] : first[k + 1]])
 
 
 def _sketch(batches):

@@ -58,7 +58,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * _table("back", n + 1)[starts] + (ends - starts).astype(np.uint64)), first
 
 
-def groups(texts: list[bytes], most: int = 4 << 20):
+def groups(texts: list[bytes], most: int = 1 << 19):
     """Slices of texts of bounded total size; a longer text stands alone."""
     lo = size = 0
     for i, t in enumerate(texts):
