@@ -1,10 +1,12 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
 Each text becomes the sequence of its shingles of five words (lower case),
-labelled by their occurrence number.  For each of ``SKETCHES`` hash functions the
+labelled by their occurrence number.  For each of some hash functions the
 ``KEEP`` smallest labelled shingles are taken and put back in text order;
 the hash of that ordered tuple is one bucket key.  At a similarity of 0.8 two
-texts share a key with probability about 0.8**4, and miss all 24 in 3 of a million cases.
+long texts share a key with probability about 0.8**4, short ones with less (``C(L, 4) / C(n + m - L, 4)``).
+The number of hash functions follows from the length (24 for long texts), so that a pair
+at 0.8 misses all of them in at most ``MISS`` of the cases, whatever the lengths.
 
 Similarity is L / (n + m - L), with n and m labelled shingles and L those that a
 common alignment keeps in order (for texts without moved parts the
@@ -16,8 +18,10 @@ are one node.  In a bucket, members are compared with a hub, its least node, ins
 of with each other.  Where that leaves several classes in a bucket, a bucket of up to ``SMALL``
 members compares all of different classes.  The members of larger ones (texts
 that share a long passage but are not similar, or many near copies with an odd one)
-get ``FINE_SKETCHES`` sharper sketches of ``FINE_KEEP`` shingles each, with which a similarity of
-0.8 is again missed in 2 of 100,000 cases only, and are dealt out anew.  Buckets of that tier compare
+get sharper sketches of up to ``FINE_KEEP`` shingles each, fewer for texts under about 50 shingles, in
+such a number that a similarity of 0.8 is again missed in at most ``FINE_MISS`` of the cases, and are
+dealt out anew.  Both texts of a pair have the sketches for the longer one's length, as
+each has those for all lengths that a similar text can have.  Buckets of that tier compare
 with 1, 4, 16 ... hubs until every pair of different classes was compared or
 the classes have merged.  No pair is dropped by a cap, and all work is joins and
 aggregates on longs.
@@ -32,6 +36,8 @@ through ``one_of_each`` untouched, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import cache
+from math import ceil, comb, log, log1p
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -41,8 +47,12 @@ from marginalia.llm.common import staged
 from marginalia.llm.words import groups, mix, word_hashes
 
 WIDTH = 5
-SKETCHES, KEEP = 24, 4
-FINE_SKETCHES, FINE_KEEP = 96, 10
+KEEP, MISS = 4, 5e-6
+FINE_KEEP, FINE_MISS = 10, 2e-5
+#: Most sketches of one kind; where more were needed they keep fewer shingles.
+MOST = 120
+#: Texts of more shingles have the sketches of this number, which suffice for them.
+LONG = 400
 SMALL = 8
 #: Up to so many keys (under 64 bytes each) are broadcast to pick out texts.
 BROADCAST_KEYS = 200_000
@@ -72,8 +82,41 @@ def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
     return x
 
 
-def sketch(shingles: np.ndarray, sketches: int = SKETCHES, keep: int = KEEP) -> np.ndarray:
-    """The bucket keys of a text."""
+@cache
+def needed(n: int, keep: int, miss: float) -> tuple[int, int]:
+    """Shingles to keep and number of sketches, with which two texts at similarity 0.8, the
+    longer of n shingles, are missed in at most miss of the cases."""
+    for k in range(min(keep, n), 0, -1):
+        p = 1.0
+        for m in range(-(-4 * n // 5), n + 1):
+            common = -(-4 * (n + m) // 9)
+            p = min(p, comb(common, k) / comb(n + m - common, k))
+        sketches = 1 if p == 1 else ceil(log(miss) / log1p(-p)) if p else MOST + 1
+        if sketches <= MOST:
+            break
+    return k, sketches
+
+
+@cache
+def kinds(n: int, keep: int, miss: float) -> dict[int, int]:
+    """Sketches of each number of shingles, for all pairs that a text of n shingles can be in."""
+    out: dict[int, int] = {}
+    for longer in range(n, 5 * n // 4 + 1):
+        k, sketches = needed(min(longer, LONG), keep, miss)
+        out[k] = max(sketches, out.get(k, 0))
+    return out
+
+
+def bucket_keys(shingles: np.ndarray, keep: int = KEEP, miss: float = MISS) -> np.ndarray:
+    """The bucket keys of a text; none without words."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    own = kinds(min(len(shingles), LONG), keep, miss)
+    return np.concatenate([sketch(shingles, sketches, k) for k, sketches in own.items()]).astype(np.int64)
+
+
+def sketch(shingles: np.ndarray, sketches: int, keep: int) -> np.ndarray:
+    """The hashes of the ordered tuples of one number of shingles."""
     n, keep = len(shingles), min(keep, len(shingles))
     out = np.empty(sketches, np.uint64)
     step = sketches if n < 1 << 14 else 1
@@ -123,7 +166,7 @@ def _sketch(batches):
         n, keys = [], []
         for x in _shingles_of(pdf["text"].tolist()):
             n.append(len(x))
-            keys.append(sketch(x).astype(np.int64) if len(x) else np.empty(0, np.int64))
+            keys.append(bucket_keys(x))
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tkey": pdf["tkey"], "n": n, "keys": keys})
 
 
@@ -131,7 +174,7 @@ def _sketch_finely(batches):
     import pandas as pd
 
     for pdf in batches:
-        keys = [sketch(x, FINE_SKETCHES, FINE_KEEP).astype(np.int64) for x in _shingles_of(pdf["text"].tolist())]
+        keys = [bucket_keys(x, FINE_KEEP, FINE_MISS) for x in _shingles_of(pdf["text"].tolist())]
         yield pd.DataFrame({"node": pdf["node"], "keys": keys})
 
 

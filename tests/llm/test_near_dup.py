@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -66,6 +67,34 @@ def test_crowded_bucket_of_dissimilar_texts(spark, monkeypatch):
     assert got == brute_classes(texts) and got[40] == 7
 
 
+def test_crowd_of_short_variants(spark):
+    """Short texts that meet in crowded buckets only, with a hub that most are not similar to."""
+    core = " ".join(f"c{i}" for i in range(8))
+    texts = {i: f"{core} x{i}" for i in range(80)}
+    texts[80] = core
+    middle = " ".join(f"m{i}" for i in range(11))
+    for i in range(300):
+        texts[100 + 2 * i] = f"p{i} {middle} q{2 * i}"
+        texts[101 + 2 * i] = f"p{i} {middle} q{2 * i + 1}"
+    want = brute_classes(texts)
+    assert {want[i] for i in range(81)} == {0} and len(set(want.values())) == 301
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs_frame(spark, list(texts.items()))).collect()}
+    assert got == want
+
+
+def test_sketches_meet_the_miss_rate():
+    for keep, miss in ((N.KEEP, N.MISS), (N.FINE_KEEP, N.FINE_MISS)):
+        for n in range(1, 120):
+            for m in range(-(-4 * n // 5), n + 1):
+                same = -(-4 * (n + m) // 9)
+                a, b = N.kinds(n, keep, miss), N.kinds(m, keep, miss)
+                missed = 1.0
+                for k in a.keys() & b.keys():
+                    p = math.comb(same, k) / math.comb(n + m - same, k)
+                    missed = min(missed, (1 - p) ** min(a[k], b[k]))
+                assert missed <= miss, (n, m)
+
+
 def test_one_of_each(spark):
     texts = corpus(5)
     kept = {r["doc_id"] for r in N.one_of_each(docs_frame(spark, list(texts.items()))).collect()}
