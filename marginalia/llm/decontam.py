@@ -14,7 +14,8 @@ at the pivot, and a full score only past both.  Everything above the threshold i
 
 A retrieved item is verified on the whole document: the share of the question's
 five-word shingles in the document, and that of the words of the
-answer (the last sentence of an item, else its last quarter).
+answer (the last sentence of an item, else its last quarter).  A question of fewer than five
+words is one shingle of its own width, looked for among the document's shingles of that width.
 
 The index is sent to the tasks, up to ``INDEX_BYTES`` of item text; a larger
 benchmark is indexed in several parts, each of them bounded, that all documents query in turn.
@@ -50,8 +51,8 @@ _COEF = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 _END = 1 << 60
 
 
-def shingles(hashes: np.ndarray) -> np.ndarray:
-    width = min(WIDTH, len(hashes))
+def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    width = min(width, len(hashes))
     if not width:
         return hashes
     x = np.zeros(len(hashes) - width + 1, np.uint64)
@@ -83,7 +84,9 @@ class Index:
         hashes, first = word_hashes(encode([t for _, t in items]))
         own = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         parts = [split_item(t) for _, t in items]
-        self.question = [np.unique(shingles(word_hashes(encode([q]))[0])) for q, _ in parts]
+        asked = [word_hashes(encode([q]))[0] for q, _ in parts]
+        self.width = [min(WIDTH, len(x)) for x in asked]
+        self.question = [np.unique(shingles(x)) for x in asked]
         self.answer = [np.unique(word_hashes(encode([a]))[0]) for _, a in parts]
         self.terms, number = np.unique(hashes, return_inverse=True)
         n, sizes = len(items), np.array([len(x) for x in own])
@@ -161,13 +164,16 @@ class Index:
                 c[1] = bisect_left(docs, item, c[1])
                 c[0] = docs[c[1]] if c[1] < len(docs) else _END
 
-    def verify(self, item: int, words: np.ndarray, doc_shingles: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's shingles and of the answer's words in the document."""
-        q, a = self.question[item], self.answer[item]
-        if len(q) and WIDTH > len(words):
+    def verify(self, item: int, words: np.ndarray, doc_shingles: dict[int, np.ndarray]) -> tuple[float, float]:
+        """Shares of the question's shingles and of the answer's words in the document.
+        doc_shingles keeps the document's shingles by width."""
+        q, a, width = self.question[item], self.answer[item], self.width[item]
+        if width > len(words):
             return 0.0, 0.0
+        if width not in doc_shingles:
+            doc_shingles[width] = np.unique(shingles(words, width))
         return (
-            float(np.isin(q, doc_shingles).mean()) if len(q) else 1.0,
+            float(np.isin(q, doc_shingles[width]).mean()) if len(q) else 1.0,
             float(np.isin(a, words).mean()) if len(a) else 1.0,
         )
 
@@ -181,7 +187,7 @@ class Index:
                 found = []
                 if hits:
                     words = hashes[first[k] : first[k + 1]]
-                    own = np.unique(shingles(words))
+                    own: dict[int, np.ndarray] = {}
                     for item, score in sorted(hits.items()):
                         q, a = self.verify(item, words, own)
                         if q >= QUESTION_SHARE and a >= ANSWER_SHARE:

@@ -62,6 +62,20 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     assert left == set(range(60)) - {d for d, _ in want}
 
 
+def test_items_of_few_words(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 8)] + [(10, "Who wrote Hamlet ? William Shakespeare")]
+    filler = " ".join(f"f{k}" for k in range(70))
+    docs, want = [], set()
+    for n, (item, text) in enumerate(items):
+        docs += [(10 * n, text), (10 * n + 1, f"{filler} {text.upper()} {filler}"), (10 * n + 2, f"{filler} {' '.join(text.split()[:-1][::-1])}")]
+        want |= {(10 * n, item), (10 * n + 1, item)}
+    docs.append((900, filler))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_frame(spark, docs), bench_frame(spark, items)).collect()}
+    assert got == want
+    left = {r["doc_id"] for r in decontam.drop_contaminated(docs_frame(spark, docs), bench_frame(spark, items)).collect()}
+    assert left == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_decontamination_odd_rows(spark):
     items = bench_frame(spark, [(1, "w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7"), (None, "nothing like that here at all")])
     df = odd_docs(spark)
