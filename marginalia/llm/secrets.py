@@ -2,7 +2,10 @@
 
 Candidates are runs of at least ``MIN_RUN`` characters of
 ``[A-Za-z0-9+/_=-]`` with letters and digits.  For each, the narrowest encoding
-that covers it (hex, base32, base36, base62, base64) is inferred.  It has to look random: a
+that covers it (hex, base32, base36, base62, base64, base64url) is inferred, with ``=`` as padding
+only.  A run that none covers is cut after each ``=`` and, where that leaves both ``+/`` and ``-_``, at
+the symbols of one base64; parts of ``MIN_RUN`` characters are candidates of their own, and without any the
+run is one of encoding ``mixed``.  A candidate has to look random: a
 chi-squared test of a uniform alphabet, a runs test about the median symbol and
 a test of the serial correlation, none of which may reject at ``ALPHA`` after
 Bonferroni's correction.  As evidence that it is no natural text, the
@@ -17,7 +20,7 @@ Added spans have the kind ``random`` and never overlap a base span.
 
 Defined results.  Null text counts as empty: zero counts, no spans.  Repeated
 rows are judged row by row.  An empty table gives an empty result.  Other columns
-are not read.  Very long runs are one candidate, tested whole.
+are not read.  Very long runs of one encoding are one candidate, tested whole.
 """
 
 from __future__ import annotations
@@ -55,8 +58,14 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=",
 }
+# The symbols of one base64, with padding.
+ONE_BASE64 = re.compile(r"[A-Za-z0-9+/]*=*|[A-Za-z0-9_-]*=*")
+PADDED = re.compile(r"[^=]+=*|=+")
+STANDARD, URL_SAFE = re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*")
 # Letter frequencies of English text, a to z, in thousandths.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 
@@ -114,6 +123,19 @@ def battery(run: str) -> tuple[str, float, float]:
     return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), -n * math.log(size) - words
 
 
+def parts_of(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates in a run: the run itself if one base64 covers it."""
+    if ONE_BASE64.fullmatch(run):
+        return [(0, len(run))]
+    out = []
+    for m in PADDED.finditer(run):
+        cuts = [[m.span()]]
+        if not ONE_BASE64.fullmatch(m[0]):
+            cuts = [[(m.start() + x.start(), m.start() + x.end()) for x in p.finditer(m[0])] for p in (STANDARD, URL_SAFE)]
+        out += max(cuts, key=lambda c: max((e - s for s, e in c), default=0))
+    return [(s, e) for s, e in out if e - s >= MIN_RUN] or [(0, len(run))]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds."""
     out = []
@@ -129,14 +151,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, runs: list[re.Match], base: list[tuple[int, int, int]]):
     """(start, end, encoding, bin) of the runs that stand apart from base spans."""
     for m in runs:
-        run = m[0]
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-            continue
-        if any(s < m.end() and e > m.start() for s, _, e in base):
-            continue
-        name, random, llr = battery(run)
-        score = max(0.0, llr) / math.log(10) if random >= ALPHA else 0.0
-        yield m.start(), m.end(), name, min(MAX_BIN, int(score / BIN))
+        for lo, hi in parts_of(m[0]):
+            run, start, end = m[0][lo:hi], m.start() + lo, m.start() + hi
+            if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+                continue
+            if any(s < end and e > start for s, _, e in base):
+                continue
+            name, random, llr = battery(run)
+            score = max(0.0, llr) / math.log(10) if random >= ALPHA else 0.0
+            yield start, end, name, min(MAX_BIN, int(score / BIN))
 
 
 def band(length) -> F.Column:

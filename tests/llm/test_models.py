@@ -115,3 +115,25 @@ def test_battery_rejects_patterns():
     assert secrets.battery(uniform)[0] == "hex" and secrets.battery(uniform)[1] >= secrets.ALPHA
     assert secrets.battery("0123456789abcdef" * 4)[1] < secrets.ALPHA
     assert secrets.battery("aaaaaaaaaaaaaaaaaaaaaaa1")[1] < secrets.ALPHA
+
+
+def test_long_random_runs_of_either_base64():
+    rng = random.Random(8)
+
+    def found(text):
+        return list(secrets.candidates(text, list(secrets.RUN.finditer(text)), []))
+
+    for name in ("base64", "base64url"):
+        for n in (200, 800, 1600, 3200, 20_000):
+            kept = 0
+            for _ in range(40):
+                run = "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n)) + "=="
+                (start, end, encoding, evidence), = found("x " + run + " y")
+                assert (start, end, encoding) == (2, n + 4, name)
+                kept += evidence > 0
+            assert kept >= 38, (name, n)
+    long = "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(3200)) + "="
+    (start, end, encoding, evidence), = found("a key=" + long)
+    assert (start, end, encoding) == (6, 6 + 3201, "base64") and evidence > 0
+    short = "ab1-cd2+ef3=gh4-ij5+kl6"
+    assert [c[:3] for c in found(short)] == [(0, len(short), "mixed")]
