@@ -533,6 +533,30 @@ def bibliography(spark, sf_dir):
     return parsed.select("paper_id", "pos", export.inline_label(ieee).alias("ieee"), export.inline_label(apa).alias("apa"), export.entry_text(ieee).alias("ieee_entry"), export.entry_text(apa).alias("apa_entry"))
 
 
+def _all_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(entries.parse_entries(corpus.entries(references(spark, sf_dir)).select("paper_id", "pos", "raw")))
+
+
+@query()
+def bibtex_all(spark, sf_dir):
+    """Every reference, of all entry formats (bibtex_entries and its SQL take one of four)."""
+    return export.bibtex(_all_parsed(spark, sf_dir))
+
+
+@query()
+def bibliography_all(spark, sf_dir):
+    """Every reference, of all entry formats (bibliography and its SQL take one of four)."""
+    ieee, apa = F.lit("ieee"), F.lit("apa")
+    return _all_parsed(spark, sf_dir).select("paper_id", "pos", export.inline_label(ieee).alias("ieee"), export.inline_label(apa).alias("apa"), export.entry_text(ieee).alias("ieee_entry"), export.entry_text(apa).alias("apa_entry"))
+
+
+@query()
+def sections_all(spark, sf_dir):
+    """Every section that the layout has (sections and its SQL take three)."""
+    lines = _paper_lines(references(spark, sf_dir))
+    return layout.sections(lines, layout.body_size(lines)).select("paper_id", "section_id", "title", "level", "text")
+
+
 def _given_answers(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(
         F.col("doc_id").alias("paper_id"), F.col("doc_id").alias("answer_id"), F.lit("What of reference 2?").alias("question"), F.lit("See ref 3.").alias("answer"), F.lit(True).alias("answered"),
