@@ -7,7 +7,8 @@ hash of the text's identifier; the bound is this parameter).  A word's score for
 language is the sum over its n-grams.  The scripts of the words seen in
 training narrow the candidates: a word in a script that some languages use
 is only scored for those.  Viterbi over the word scores with a penalty ``SWITCH`` for each
-change of language labels spans; the language of the document is the one
+change of language labels spans, from the start of their first word to the end of their last,
+in code points of the text as it is given; the language of the document is the one
 with most letters in its spans, and its score the share of the letters it holds, weighed
 with the mean posterior.
 
@@ -15,7 +16,7 @@ Viterbi is skipped where it provably returns one language: if no stretch of word
 favours another language over the best one by more than half a penalty, no path with
 switches can win.  Both ways give the same labels.
 
-Defined results.  Null text, or text without letters: ``und`` with score 0.  Letters
+Defined results.  Null text, or text without letters: ``und`` with score 0 and no spans.  Letters
 of a script never seen are scored for all languages.  Ties go to the
 alphabetically first language.  Without any labelled document every
 text is ``und``.  Repeated rows are judged row by row.  An empty table gives an
@@ -67,10 +68,48 @@ def script(word: str) -> int:
     return _NAMES.index(SCRIPTS[max(k, 0)][1])
 
 
-def words_of(text: str) -> list[str]:
+def plain(text: str) -> str:
+    """The text that words are found in."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    return WORD.findall(text.lower())
+    return text.lower()
+
+
+def words_of(text: str) -> list[str]:
+    return WORD.findall(plain(text))
+
+
+def places(text: str, low: str) -> list[tuple[int, int]] | None:
+    """(start, end) in text for each character of low = plain(text); None where they are the same.
+
+    The text is cut before each character that does not change with those before it, so that
+    the parts can be made plain one by one."""
+    if len(low) == len(text) and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+        return None
+    cuts = [0]
+    own = text[:1]
+    for i, c in enumerate(text[1:], 1):
+        if c.isascii() or (not unicodedata.combining(c) and plain(own + c) == plain(own) + plain(c)):
+            cuts.append(i)
+            own = c
+        else:
+            own += c
+    out: list[tuple[int, int]] = []
+    for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+        out += [(a, b)] * len(plain(text[a:b]))
+    return out
+
+
+def span_edges(text: str, first: list[int]) -> list[tuple[int, int]]:
+    """(start, end) in text of the spans that start at these words, the last up to the last word."""
+    low = plain(text)
+    if len(first) == 1:
+        edges = [(WORD.search(low).start(), len(low) - WORD.search(low[::-1]).start())]
+    else:
+        at = [m.span() for m in WORD.finditer(low)]
+        edges = [(at[a][0], at[b - 1][1]) for a, b in zip(first, [*first[1:], len(at)], strict=True)]
+    own = places(text, low)
+    return edges if own is None else [(own[a][0], own[b - 1][1]) for a, b in edges]
 
 
 def gram_buckets(words: list[str]):
@@ -250,33 +289,41 @@ def _predict(model: Model):
                 for k in range(len(listed)):
                     a, b = first[k], first[k + 1]
                     if a == b:
-                        names.append("und"), scores_out.append(0.0), spans.append(0)
+                        names.append("und"), scores_out.append(0.0), spans.append([])
                         continue
                     own = scores[a:b]
                     if ok[k]:
-                        pick, share, n_spans = int(best[k]), 1.0, 1
+                        pick, share, starts, held_by = int(best[k]), 1.0, [0], [int(best[k])]
                     else:
                         path = viterbi(own)
                         held = np.bincount(path, weights=letters[a:b], minlength=len(langs))
                         pick = int(held.argmax())
                         share = float(held[pick] / held.sum())
-                        n_spans = 1 + int((path[1:] != path[:-1]).sum())
+                        starts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()]
+                        held_by = path[starts].tolist()
                     mean = own.sum(axis=0) / np.sqrt(len(own))
                     p = np.exp(mean - mean.max())
-                    names.append(langs[pick]), spans.append(n_spans)
+                    names.append(langs[pick])
+                    edges = span_edges(texts[lo + k], starts)
+                    spans.append([{"start": s, "end": e, "lang": langs[x]} for (s, e), x in zip(edges, held_by, strict=True)])
                     scores_out.append(float(min(1.0, max(0.0, share * p[pick] / p.sum()))))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": names, "score": scores_out, "n_spans": spans})
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": names, "score": scores_out, "spans": spans})
             yield out
 
     return run
 
 
+SPANS = "array<struct<start:int,end:int,lang:string>>"
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and n_spans; held_out has to be in docs."""
+    """doc_id, held_out, lang_pred, score, n_spans and spans (start, end, lang); held_out has to be in docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out"))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).alias("n_spans"))
-    return rows.mapInPandas(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, n_spans int")
+        found = rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(SPANS).alias("spans"))
+    else:
+        found = rows.mapInPandas(_predict(model), f"doc_id long, held_out boolean, lang_pred string, score double, spans {SPANS}")
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"), "spans")
 
 
 def language_report(docs: DataFrame) -> DataFrame:

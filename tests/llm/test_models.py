@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,6 +33,24 @@ def test_language_accuracy_and_spans(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_spans_in_the_text(spark):
+    rng = random.Random(14)
+    rows = [(i, speech(rng, lang, 60), lang) for i, lang in enumerate(rng.choice(list(SYLLABLES)) for _ in range(120))]
+    en, de, el = (speech(rng, lang, 40) for lang in ("en", "de", "el"))
+    # Decomposed umlauts and a capital that is two characters in lower case shift the words.
+    de = unicodedata.normalize("NFD", de)
+    mixed = f"12 İ {en} -- {de}; {el} !?"
+    rows += [(900, mixed, "en"), (901, f"  {en}.", "en"), (902, None, "en"), (903, "12 !?", "en")]
+    got = {r["doc_id"]: r for r in lang_id.language_report(docs_frame(spark, rows)).collect()}
+    spans = {i: [(mixed if i == 900 else f"  {en}.")[s["start"] : s["end"]] for s in got[i]["spans"]] for i in (900, 901)}
+    assert [s["lang"] for s in got[900]["spans"]] == ["en", "de", "el"] and got[900]["n_spans"] == 3
+    assert spans == {900: [f"İ {en}", de, el], 901: [en]}
+    assert got[902]["spans"] == got[903]["spans"] == [] and got[902]["n_spans"] == 0
+    for text in ("ÅÅ\u0323\u0307q\u0307\u0323 ab", "\u1112\u1161\u11ab\u1100\u1173\u11af x", "İİ \u212b\u0323 \u09c7\u09be"):
+        own = lang_id.places(text, lang_id.plain(text))
+        assert own is not None and len(own) == len(lang_id.plain(text)) and own[0][0] == 0 and own[-1][1] == len(text)
+
+
 def test_viterbi_shortcut_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(60):
