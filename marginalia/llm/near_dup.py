@@ -16,19 +16,22 @@ an alignment within (n + m) / 9 of the diagonal, so the band loses nothing.
 Classes are the connected components of verified links.  Copies with equal text
 are one node.  In a bucket, members are compared with a hub, its least node, instead
 of with each other.  Where that leaves several classes in a bucket, a bucket of up to ``SMALL``
-members compares all of different classes.  The members of larger ones (texts
-that share a long passage but are not similar, or many near copies with an odd one)
-get sharper sketches of up to ``FINE_KEEP`` shingles each, fewer for texts under about 50 shingles, in
-such a number that a similarity of 0.8 is again missed in at most ``FINE_MISS`` of the cases, and are
-dealt out anew.  Both texts of a pair have the sketches for the longer one's length, as
-each has those for all lengths that a similar text can have.  Buckets of that tier compare
-with 1, 4, 16 ... hubs until every pair of different classes was compared or
-the classes have merged.  No pair is dropped by a cap, and all work is joins and
-aggregates on longs.
+members compares all of different classes.
+
+The members of larger ones (texts that share a long passage but are not similar, or variants
+of one text on both sides of the threshold) go an exact way, so that neither a cap
+nor all pairs of a bucket are needed: their shingles are put in one order, rarest among these
+members first.  Two texts of n and m shingles at 0.8 have at least a = 4 (n + m) / 9 in common,
+so the first n - a + 1 of the one and the first m - a + 1 of the other meet in a shingle.  These
+prefixes are rows by shingle and pair of length bands (``BAND``), and only pairs of different
+classes that meet there are verified.  Passages that many texts share stand last in
+that order and propose nothing; texts with more shingles of their own than a prefix
+holds are done at once.  All work is joins and aggregates on longs.
 
 Defined results.  Null text counts as empty; texts without words are alone in their
 class.  Texts with fewer than five words have one shingle.  Null doc_id values take
-part; the id of a class is its least non-null doc_id, or null.  Repeated rows
+part; the id of a class is its least non-null doc_id, or null; among several texts with that id the one of least MD5 stays.  Texts
+of any length are hashed whole.  Repeated rows
 are copies of each other.  An empty table gives an empty result.  Other columns pass
 through ``one_of_each`` untouched, whatever their names.
 """
@@ -48,15 +51,18 @@ from marginalia.llm.words import groups, mix, word_hashes
 
 WIDTH = 5
 KEEP, MISS = 4, 5e-6
-FINE_KEEP, FINE_MISS = 10, 2e-5
 #: Most sketches of one kind; where more were needed they keep fewer shingles.
 MOST = 120
 #: Texts of more shingles have the sketches of this number, which suffice for them.
 LONG = 400
 SMALL = 8
-#: Up to so many keys (under 64 bytes each) are broadcast to pick out texts.
-BROADCAST_KEYS = 200_000
+#: Lengths whose ratio is below this share a band in the exact way.
+BAND = 1.05
+#: Up to so many rows of a few longs (under 64 bytes each) are broadcast.
+BROADCAST_KEYS = 100_000
 _SEEDS = mix(np.arange(1, 128, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+#: Whether lengths allow a similarity of 0.8.
+FIT = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
 _COEF = mix(np.arange(1, 64, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
 
 
@@ -170,12 +176,8 @@ def _sketch(batches):
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tkey": pdf["tkey"], "n": n, "keys": keys})
 
 
-def _sketch_finely(batches):
-    import pandas as pd
-
-    for pdf in batches:
-        keys = [bucket_keys(x, FINE_KEEP, FINE_MISS) for x in _shingles_of(pdf["text"].tolist())]
-        yield pd.DataFrame({"node": pdf["node"], "keys": keys})
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
 def text_key(text: Column) -> Column:
@@ -245,13 +247,13 @@ def text_classes(docs: DataFrame) -> DataFrame:
     """One row per different text with words: tkey, doc_id (its least), rows
     (with that doc_id), node, and label, the node that stands for its class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("tkey", text_key(F.col("text")))
+    rows = rows.where(has_words(F.col("text"))).withColumn("tkey", text_key(F.col("text")))
     slim = staged(rows.mapInPandas(_sketch, "doc_id long, tkey binary, n int, keys array<long>"), "sketch")
     ids = (
-        slim.where("n > 0").groupBy("tkey", "doc_id").agg(F.count("*").alias("rows"))
+        slim.groupBy("tkey", "doc_id").agg(F.count("*").alias("rows"))
         .groupBy("tkey").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("least"))
     )
-    uniq = slim.where("n > 0").select("tkey", "n", "keys").dropDuplicates(["tkey"]).join(ids, "tkey")
+    uniq = slim.select("tkey", "n", "keys").dropDuplicates(["tkey"]).join(ids, "tkey")
     uniq = staged(
         uniq.select(
             F.monotonically_increasing_id().alias("node"), "tkey", "n", "keys",
@@ -261,79 +263,112 @@ def text_classes(docs: DataFrame) -> DataFrame:
     )
     members = _members(uniq.select("node", "n", F.explode("keys").alias("h")))
     texts = _texts(rows, uniq, members.select("node").distinct())
-    sizes = _small(texts.select("node", "n"))
-    pairs = _fit(members.where("node <> hub").select("node", "hub"), sizes)
+    pairs = staged(members.where(f"node <> hub and {FIT.format('n', 'hub_n')}").select("node", "hub").distinct(), "pairs")
     labels = components(_verified(texts, pairs))
-    tested = [pairs]
-    crowd = _open(members.drop("hub"), labels)
-    wanted = _across(crowd.where(F.col("size") <= SMALL), crowd)
-    dense = crowd.where(F.col("size") > SMALL).select("node").distinct()
-    fine = None
-    if not dense.isEmpty():
-        keyed = texts.join(_small(dense), "node").select("node", "text").mapInPandas(_sketch_finely, "node long, keys array<long>")
-        fine = _members(staged(keyed, "fine").select("node", F.explode("keys").alias("h"))).drop("hub")
-        at, hubs_each = _open(fine, labels), 1
-        wanted = wanted.unionByName(_with_hubs(at, 1))
-    while True:
-        pairs = _fit(wanted, sizes, tested)
-        labels = merged_labels(labels, _verified(texts, pairs))
-        tested.append(pairs)
-        if fine is None:
-            break
-        at = _open(fine, labels)
-        top = at.agg(F.max("size")).first()[0]
-        if top is None or top <= hubs_each:
-            break
-        hubs_each *= 4
-        wanted = _with_hubs(at, hubs_each)
+    crowd = _open(members, labels)
+    dense = crowd.where(F.col("size") > SMALL).select("node", "label").distinct()
+    wanted = _across(crowd.where((F.col("size") > 2) & (F.col("size") <= SMALL) & (F.col("node") != F.col("hub"))).select("h", "node", "n", "label"))
+    wanted = wanted.unionByName(_across(_prefixes(texts, staged(dense, "dense"))))
+    more = staged(wanted.distinct().join(pairs, ["node", "hub"], "left_anti"), "pairs")
+    labels = merged_labels(labels, _verified(texts, more))
     return uniq.join(labels, "node", "left").select("node", "tkey", "doc_id", "rows", F.coalesce("label", "node").alias("label"))
 
 
 def _members(bands: DataFrame) -> DataFrame:
     """The rows of buckets with several texts, with the bucket's hub and size."""
-    crowd = bands.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("most"), F.count("*").alias("size"))
+    crowd = bands.groupBy("h").agg(
+        F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.max("node").alias("most"), F.count("*").alias("size")
+    )
     return staged(bands.join(crowd.where("hub < most").drop("most"), "h"), "members")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets in which there are several classes, with their labels."""
-    at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = members.join(_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    return staged(at.join(mixed, "h"), "open")
+    return staged(at.join(_small(mixed), "h"), "open")
 
 
-def _across(some: DataFrame, others: DataFrame) -> DataFrame:
-    hubs = others.select("h", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    both = some.join(hubs, "h").where("node < other and label <> other_label")
-    return both.select("node", F.col("other").alias("hub"))
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs of different classes whose lengths fit, from rows (h, node, n, label) that meet in h."""
+    least = rows.select("h", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+    both = rows.join(least, "h").where(f"hub < node and label <> hub_label and {FIT.format('n', 'hub_n')}")
+    return both.select("node", "hub")
 
 
-def _with_hubs(at: DataFrame, number: int) -> DataFrame:
-    """Members of open buckets with up to so many hubs of other classes in the bucket.
+@cache
+def band_starts() -> list[int]:
+    """The least length of each band; whole numbers, the same everywhere."""
+    out = [1]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
+    return out
 
-    Hubs are the least nodes of as many slots of a hash; once there are more slots than
-    members nearly all of these are hubs, and with four times as many the next round takes the rest.
-    """
-    slot = F.when(F.col("size") <= number, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(number)), F.lit(number)))
-    hubs = at.groupBy("h", slot.alias("slot")).agg(F.min("node").alias("hub"))
-    hubs = hubs.join(at.select("h", F.col("node").alias("hub"), F.col("label").alias("hub_label")), ["h", "hub"]).drop("slot")
-    return at.join(hubs, "h").where("node <> hub and label <> hub_label").select("node", "hub")
 
+def prefix_keys(n: int, before: int, rare: np.ndarray) -> np.ndarray:
+    """The keys (shingle and two bands) of the prefixes of a text of n shingles.  The first
+    before of them in the common order no other text has; rare are the next ones."""
+    starts = band_starts()
+    own, out = bisect_right(starts, n) - 1, []
+    least = -(-4 * n // 5)
+    for band in range(bisect_right(starts, least) - 1, bisect_right(starts, 5 * n // 4)):
+        other = max(starts[band], least)
+        size = n - -(-4 * (n + other) // 9) + 1 - before
+        if size > 0:
+            lo, hi = sorted((own, band))
+            out.append(mix(rare[:size] + np.uint64((lo * 4096 + hi + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _listed(rows, column: str, most: int = 1 << 18):
+    """Frames of (node, n, keys) rows with a row per key, of bounded size but for single texts."""
+    import pandas as pd
 
-def _fit(wanted: DataFrame, sizes: DataFrame, tested: tuple | list = ()) -> DataFrame:
-    """Different pairs whose lengths allow the similarity, without those tested."""
-    both = wanted.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
-    both = both.join(sizes, "node").join(sizes.withColumnsRenamed({"node": "hub", "n": "hub_n"}), "hub")
-    both = both.where("5 * least(n, hub_n) >= 4 * greatest(n, hub_n)").select("node", "hub")
-    for done in tested:
-        both = both.join(done, ["node", "hub"], "left_anti")
-    return staged(both, "pairs")
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > most:
+            yield _frame(pd, held, column)
+            held, size = [], 0
+    if held:
+        yield _frame(pd, held, column)
+
+
+def _frame(pd, held, column: str):
+    counts = [len(x) for _, _, x in held]
+    out = {k: np.repeat(np.array([row[i] for row in held], kind), counts) for i, (k, kind) in enumerate((("node", np.int64), ("n", np.int32)))}
+    return pd.DataFrame(out | {column: np.concatenate([x for _, _, x in held]).view(np.int64)})
+
+
+def _shingle_rows(batches):
+    for pdf in batches:
+        yield from _listed(zip(pdf["node"], pdf["n"], _shingles_of(pdf["text"].tolist()), strict=True), "s")
+
+
+def _prefix_rows(batches):
+    for pdf in batches:
+        each = zip(pdf["node"], pdf["n"], pdf["known"], pdf["rare"], strict=True)
+        yield from _listed(((i, n, prefix_keys(n, n - known, np.asarray(rare, np.int64).view(np.uint64))) for i, n, known, rare in each), "h")
+
+
+def _prefixes(texts: DataFrame, dense: DataFrame) -> DataFrame:
+    """Rows (h, node, n, label) of the prefixes that texts of different classes among dense share."""
+    rows = texts.join(_small(dense), "node").select("node", "n", "text").mapInPandas(_shingle_rows, "node long, n int, s long")
+    rows = staged(rows, "shingles")
+    common = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # One text's shingles are one row: as long as the text at most.
+    ranked = rows.join(common, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    keyed = ranked.select("node", "n", F.slice("x.s", F.lit(1), (F.col("n") / 5 + 2).cast("int")).alias("rare"), F.size("x").alias("known"))
+    keyed = staged(keyed.mapInPandas(_prefix_rows, "node long, n int, h long").join(_small(dense), "node"), "prefixes")
+    mixed = keyed.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+    return staged(keyed.join(_small(mixed), "h"), "open")
 
 
 def _texts(rows: DataFrame, uniq: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, n and text of some nodes, from one row of each."""
     wanted = _small(uniq.join(nodes, "node").select("node", "n", "tkey", F.col("doc_id").alias("own_id")))
-    texts = rows.join(wanted, "tkey").where(F.col("doc_id").eqNullSafe(F.col("own_id")))
+    texts = rows.join(wanted, (F.col("doc_id").eqNullSafe(F.col("own_id"))) & (rows["tkey"] == wanted["tkey"]))
     return staged(texts.select("node", "n", "text").dropDuplicates(["node"]), "payload")
 
 
@@ -357,34 +392,31 @@ def _with_survivors(texts: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "rows"))
     chosen = texts.groupBy("label").agg(first.alias("x"), F.sum("rows").alias("size"))
     return texts.join(chosen, "label").select(
-        "tkey", F.col("x.doc_id").alias("class_id"), F.col("x.tkey").alias("class_tkey"), F.col("x.rows").alias("class_rows"),
-        F.lit(True).alias("known"),
+        "tkey", F.col("x.doc_id").alias("class_id"), F.col("x.tkey").alias("class_tkey"), F.col("x.rows").alias("class_rows")
     )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and kept, a row per row of docs."""
-    classes = _with_survivors(text_classes(docs)).select("tkey", "class_id", "known")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"))
-    known = F.col("known").isNotNull()
-    class_id = F.when(known, F.col("class_id")).otherwise(F.col("doc_id"))
-    return rows.join(classes, "tkey", "left").select(
-        "doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept")
-    )
+    classes = _with_survivors(text_classes(docs)).select("tkey", "class_id")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), has_words(text).alias("worded"), text_key(text).alias("tkey"))
+    found = rows.where("worded").join(classes, "tkey").select("doc_id", "class_id")
+    alone = rows.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each class, the one with the least doc_id; texts without words stay."""
     p = "__near_dup_"
     columns = docs.columns
-    picked = _with_survivors(text_classes(docs))
-    picked = picked.select(*[F.col(c).alias(p + c) for c in picked.columns])
-    rows = docs.withColumn(p + "key", text_key(F.col("text")))
-    joined = rows.join(picked, F.col(p + "key") == F.col(p + "tkey"), "left")
-    stays = F.col(p + "known").isNull() | (
-        (F.col(p + "key") == F.col(p + "class_tkey")) & F.col("doc_id").cast("long").eqNullSafe(F.col(p + "class_id"))
-    )
-    kept = joined.where(stays)
-    several = F.coalesce(F.col(p + "class_rows") > 1, F.lit(False))
+    first = _with_survivors(text_classes(docs)).where("tkey = class_tkey")
+    first = first.select(F.col("class_tkey").alias(p + "tkey"), F.col("class_id").alias(p + "id"), F.col("class_rows").alias(p + "rows"))
+    text = F.col("text").cast("string")
+    worded = docs.where(has_words(text)).withColumn(p + "key", text_key(text))
+    # Joined on both, so that the copies of one text are dealt out by their doc_id.
+    kept = worded.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(p + "id")) & (F.col(p + "key") == F.col(p + "tkey")))
+    several = F.col(p + "rows") > 1
     once = kept.where(several).dropDuplicates([p + "key"])
-    return kept.where(~several).unionByName(once).select(*columns)
+    alone = docs.where(~has_words(text))
+    return kept.where(~several).unionByName(once).select(*columns).unionByName(alone)

@@ -83,16 +83,61 @@ def test_crowd_of_short_variants(spark):
 
 
 def test_sketches_meet_the_miss_rate():
-    for keep, miss in ((N.KEEP, N.MISS), (N.FINE_KEEP, N.FINE_MISS)):
-        for n in range(1, 120):
-            for m in range(-(-4 * n // 5), n + 1):
-                same = -(-4 * (n + m) // 9)
-                a, b = N.kinds(n, keep, miss), N.kinds(m, keep, miss)
-                missed = 1.0
-                for k in a.keys() & b.keys():
-                    p = math.comb(same, k) / math.comb(n + m - same, k)
-                    missed = min(missed, (1 - p) ** min(a[k], b[k]))
-                assert missed <= miss, (n, m)
+    keep, miss = N.KEEP, N.MISS
+    for n in range(1, 120):
+        for m in range(-(-4 * n // 5), n + 1):
+            same = -(-4 * (n + m) // 9)
+            a, b = N.kinds(n, keep, miss), N.kinds(m, keep, miss)
+            missed = 1.0
+            for k in a.keys() & b.keys():
+                p = math.comb(same, k) / math.comb(n + m - same, k)
+                missed = min(missed, (1 - p) ** min(a[k], b[k]))
+            assert missed <= miss, (n, m)
+
+
+def test_prefixes_of_similar_texts_meet():
+    """Any two sets that share enough for 0.8 have a prefix key in common, whatever is rare."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 90))
+        m = int(rng.integers(-(-4 * n // 5), n + 1))
+        same = -(-4 * (n + m) // 9)
+        if same > m:
+            continue
+        pool = rng.permutation(n + m - same).astype(np.uint64) + np.uint64(1)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:same], pool[n:])))
+        assert len(b) == m
+        assert len(np.intersect1d(N.prefix_keys(n, 0, a), N.prefix_keys(m, 0, b)))
+        # Those that only one has stand first and are left out.
+        alone = [np.concatenate((np.setdiff1d(x, y), np.intersect1d(x, y))) for x, y in ((a, b), (b, a))]
+        own = [N.prefix_keys(len(x), len(x) - same, z[len(x) - same :]) for x, z in ((a, alone[0]), (b, alone[1]))]
+        assert len(np.intersect1d(*own))
+
+
+def longest_common(a, b):
+    """The longest common subsequence, without a band."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def test_alignment_equals_the_full_one_where_texts_are_similar():
+    rng = np.random.default_rng(8)
+    for _ in range(120):
+        a = rng.permutation(60).astype(np.uint64)
+        b = np.delete(a, rng.integers(0, 60, int(rng.integers(0, 8))))
+        at = rng.integers(0, len(b), int(rng.integers(0, 6)))
+        b = np.insert(b, at, np.arange(100, 100 + len(at)).astype(np.uint64))
+        if rng.random() < 0.4:
+            i, j = sorted(rng.integers(0, len(b), 2))
+            b = np.concatenate((b[:i], b[j:], b[i:j]))
+        full = longest_common(a.tolist(), b.tolist())
+        assert N.aligned(a, b) <= full
+        assert N.similar(a, b) == (9 * full >= 4 * (len(a) + len(b)))
 
 
 def test_one_of_each(spark):
