@@ -5,10 +5,18 @@ repeated lines, share of words in repeated three-word windows) are counted into
 a log-linear histogram per language and source.  Such a histogram is a
 mergeable quantile sketch: sketches of two sets of documents add up bucket by
 bucket, the result does not depend on the order of the parts, and any quantile
-comes out with a relative error below 1/64.  From its quartiles each group
-gets its own outlier fences, which replace fixed cutoffs.  Groups with few
-documents take the fences of their language, languages with few those of
-everything; both are sums of the finer sketches.
+comes out with a relative error below 1/64.  Shares follow the rule of succession,
+(k + 1) / (n + 2), so that texts without a single symbol still spread by their lengths
+and every group has a scale of its own.
+
+Thresholds are quantiles of the sketch, extended by the ratio they have to the median: a
+group's upper threshold is U * (U / M) ** ``REACH`` with M its median and U its ``UPPER``
+quantile, and the lower one of mean word length mirrors it.  Buckets are logarithms, so
+this is linear in bucket numbers.  There is no constant margin: the same text can be an outlier of
+one source and usual in another.
+The quantiles of a group of n documents are drawn toward those of its language, and these toward
+those of everything, with the weight of ``PRIOR`` documents: a large group decides for itself, a
+small one moves smoothly to its language.
 
 Everything runs as DataFrame expressions.  Documents are reduced to bucket
 counts before any shuffle, so a source with a third of all rows costs no more
@@ -16,8 +24,8 @@ than the others.
 
 Defined results.  Null text counts as empty: no words, which fails the base
 rule.  Null lang or source is a group of its own.  Repeated rows are judged
-row by row.  An empty table gives an empty result.  Other columns pass
-through ``keep_good`` untouched, whatever their names.
+row by row.  A value equal to its threshold (a tie) passes.  Texts of any length are read whole.  An
+empty table gives an empty result.  Other columns pass through ``keep_good`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,18 +36,14 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import SPACE, let, staged
 
 MIN_WORDS = 50
-#: Documents below which a group's own quartiles are not trusted.
-MIN_GROUP = 200
-#: Fences lie this many interquartile ranges beyond the quartiles.
-FENCE = 6
-#: metric -> (least distance from the quartile to the upper fence, whether a
-#: lower fence exists too); metrics are integers, shares in millionths.
-METRICS = {
-    "word_len": (4_000, True),
-    "symbols": (50_000, False),
-    "dup_lines": (500_000, False),
-    "repeats": (350_000, False),
-}
+#: Documents that the quantiles of the coarser group count as, in those of the finer one.
+PRIOR = 50
+#: The upper quantile in percent; the lower one lies as far below the median.
+UPPER = 80
+#: Thresholds lie this many times the distance from the median beyond the quantile, in logarithms.
+REACH = 4
+#: metric -> whether there is a lower threshold too; metrics are integers, shares in millionths.
+METRICS = {"word_len": True, "symbols": False, "dup_lines": False, "repeats": False}
 #: Up to so many groups their fences (under 100 bytes each) are broadcast.
 BROADCAST_GROUPS = 50_000
 _F = "__quality_rules"
@@ -126,19 +130,23 @@ def base_failed(f: Column) -> Column:
 
 def metric_values(f: Column) -> dict[str, Column]:
     """Integer metrics, so that every engine and order of rows gives the same."""
-    words = F.greatest(f["n_words"], F.lit(1))
 
     def share(part: Column, whole: Column) -> Column:
-        return F.floor(part * 1_000_000 / F.greatest(whole, F.lit(1))).cast("long")
+        return _div((part + 1) * 1_000_000, whole + 2)
 
     return {
-        "word_len": F.floor(f["word_chars"] * 1000 / words).cast("long"),
+        "word_len": _div(f["word_chars"] * 1000, F.greatest(f["n_words"], F.lit(1))),
         "symbols": share(f["n_symbols"], f["word_chars"]),
         "dup_lines": share(f["n_dup_lines"], f["n_lines"]),
         "repeats": share(f["n_repeat_words"], f["n_words"]),
     }
 
 
+def _div(a: Column, b: Column) -> Column:
+    """The whole part of a quotient of longs that are not negative."""
+    return F.call_function("div", a.cast("long"), b.cast("long"))
+
+
 def bucket(v: Column) -> Column:
     """Log-linear bucket: exact below 128, then 64 buckets to each doubling."""
     e = F.greatest(F.char_length(F.bin(v)) - 7, F.lit(0))
@@ -165,20 +173,20 @@ def sketches(featured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """One row per group and level with the fences of each metric.
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """Per group and metric the buckets of the three quantiles, in thousandths: lower, mid and upper.
 
-    level 2: language and source, 1: language, 0: all.  Buckets per metric are
-    bounded (64 to each doubling), so each window below holds a few thousand
-    rows at most, whatever the number of documents.
+    Buckets per metric are bounded (64 to each doubling), so each window below holds a
+    few thousand rows at most, whatever the number of documents.
     """
     from pyspark.sql import Window
 
+    nothing = F.lit(None).cast("string")
     levels = F.explode(
         F.array(
             F.struct(F.lit(2).alias("level"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source")),
-            F.struct(F.lit(1).alias("level"), F.col("lang").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-            F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
+            F.struct(F.lit(1).alias("level"), F.col("lang").alias("g_lang"), nothing.alias("g_source")),
+            F.struct(F.lit(0).alias("level"), nothing.alias("g_lang"), nothing.alias("g_source")),
         )
     )
     merged = (
@@ -187,59 +195,49 @@ def fences(sketch: DataFrame) -> DataFrame:
     w = Window.partitionBy("g", "metric")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("b"))).withColumn("total", F.sum("n").over(w))
 
-    def quartile(k: int) -> Column:
-        return F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("b")))
+    def quantile(percent: int) -> Column:
+        return (F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("b"))) * 1000).cast("long")
 
     q = ranked.groupBy("g", "metric").agg(
-        quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total")
+        F.max("total").alias("n"), *[quantile(k).alias(name) for name, k in (("lower", 100 - UPPER), ("mid", 50), ("upper", UPPER))]
     )
-    q = q.where(F.col("total") >= F.when(F.col("g.level") == 0, 1).otherwise(MIN_GROUP))
-    q1, q3 = bucket_floor(F.col("q1")), bucket_floor(F.col("q3"))
-    least = F.create_map(*[x for k, v in METRICS.items() for x in (F.lit(k), F.lit(v[0]))])[F.col("metric")]
-    two_sided = F.col("metric").isin([k for k, v in METRICS.items() if v[1]])
-    spread = F.greatest(FENCE * (q3 - q1), least)
+    return q.select("g.level", "g.g_lang", "g.g_source", "metric", "n", "lower", "mid", "upper")
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """One row per language and source with the thresholds of each metric, in thousandths of buckets."""
+    q = staged(quantiles(sketch), "quantiles")
+    names = ("lower", "mid", "upper")
+
+    def drawn(own: DataFrame, coarse: DataFrame, on) -> DataFrame:
+        coarse = coarse.select(*[F.col(c).alias(f"c_{c}") for c in ("g_lang", "metric", *names)])
+        both = own.join(coarse, (F.col("metric") == F.col("c_metric")) & on, "left")
+        moved = [_div(F.col("n") * F.col(c) + PRIOR * F.col(f"c_{c}"), F.col("n") + PRIOR).alias(c) for c in names]
+        return both.select("g_lang", "g_source", "metric", "n", *moved)
+
+    everything, langs, groups = (q.where(F.col("level") == k) for k in range(3))
+    langs = drawn(langs, everything, F.lit(True))
+    groups = drawn(groups, langs, F.col("g_lang").eqNullSafe(F.col("c_g_lang")))
+    two_sided = F.col("metric").isin([k for k, v in METRICS.items() if v])
+    hi = F.col("upper") + REACH * (F.col("upper") - F.col("mid"))
+    lo = F.when(two_sided, F.col("lower") - REACH * (F.col("mid") - F.col("lower"))).otherwise(-1)
     return (
-        q.select(
-            F.col("g.level").alias("level"), F.col("g.g_lang").alias("g_lang"), F.col("g.g_source").alias("g_source"), "metric",
-            (q3 + spread).alias("hi"), F.when(two_sided, F.greatest(q1 - F.greatest(spread / 2, F.lit(2_000)), F.lit(0))).otherwise(F.lit(-1)).cast("long").alias("lo"),
-        )
-        .groupBy("level", "g_lang", "g_source")
-        .agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("lo", "hi")))).alias("fence"))
+        groups.select("g_lang", "g_source", "metric", F.struct(lo.cast("long").alias("lo"), hi.alias("hi")).alias("f"))
+        .groupBy("g_lang", "g_source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "f"))).alias("fence"))
     )
 
 
 def judged(featured: DataFrame) -> DataFrame:
-    """featured plus boolean columns for the base rule and the verdict.
-
-    Fences are joined level by level and the finest one that exists decides.
-    """
-    spark = featured.sparkSession
+    """featured plus boolean columns for the base rule and the verdict."""
     table = staged(fences(sketches(featured)), "fences")
     few = table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    out = featured
-    for level, keys in ((2, ("lang", "source")), (1, ("lang",))):
-        side = table.where(F.col("level") == level).select(
-            F.col("g_lang").alias(f"{_F}_l"), F.col("g_source").alias(f"{_F}_s"), F.col("fence").alias(f"{_F}_{level}")
-        )
-        on = F.col("lang").cast("string").eqNullSafe(F.col(f"{_F}_l"))
-        if len(keys) == 2:
-            on = on & F.col("source").cast("string").eqNullSafe(F.col(f"{_F}_s"))
-        out = out.join(F.broadcast(side) if few else side, on, "left").drop(f"{_F}_l", f"{_F}_s")
-    overall = table.where(F.col("level") == 0).select("fence").collect()
-    f = F.col(_F)
-    fallback = F.lit(None).cast("map<string,struct<lo:bigint,hi:bigint>>")
-    if overall:
-        fallback = F.create_map(
-            *[
-                x
-                for k, v in sorted(overall[0]["fence"].items())
-                for x in (F.lit(k), F.struct(F.lit(v["lo"]).cast("long").alias("lo"), F.lit(v["hi"]).cast("long").alias("hi")))
-            ]
-        )
-    fence = F.coalesce(F.col(f"{_F}_2"), F.col(f"{_F}_1"), fallback)
+    side = table.select(F.col("g_lang").alias(f"{_F}_l"), F.col("g_source").alias(f"{_F}_s"), F.col("fence").alias(f"{_F}_f"))
+    on = F.col("lang").cast("string").eqNullSafe(F.col(f"{_F}_l")) & F.col("source").cast("string").eqNullSafe(F.col(f"{_F}_s"))
+    out = featured.join(F.broadcast(side) if few else side, on, "left").drop(f"{_F}_l", f"{_F}_s")
+    f, fence = F.col(_F), F.col(f"{_F}_f")
     inside = F.lit(True)
     for k, v in metric_values(f).items():
-        inside = inside & F.coalesce(v.between(fence[k]["lo"], fence[k]["hi"]), F.lit(True))
+        inside = inside & F.coalesce((bucket(v).cast("long") * 1000).between(fence[k]["lo"], fence[k]["hi"]), F.lit(True))
     return out.withColumn(f"{_F}_bad", base_failed(f)).withColumn(f"{_F}_ok", ~F.col(f"{_F}_bad") & inside)
 
 

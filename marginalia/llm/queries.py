@@ -60,7 +60,7 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
 }
-#: The same counts, sketches, fences and verdicts in SQL.
+#: The same counts, sketches, thresholds and verdicts in SQL.
 QUALITY_SQL = r"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
@@ -73,27 +73,30 @@ f AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(lengt
     CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 m AS (SELECT doc_id, lang, source, base_failed, unnest(['word_len', 'symbols', 'dup_lines', 'repeats']) AS metric,
-    unnest([word_chars * 1000 // greatest(n_words, 1), n_symbols * 1000000 // greatest(word_chars, 1), n_dup_lines * 1000000 // greatest(n_lines, 1), n_repeat_words * 1000000 // greatest(n_words, 1)]) AS v FROM b),
-h AS (SELECT lang, source, metric, (v >> e) + 64 * e AS bk, count(*) AS n FROM (SELECT *, greatest(length(bin(v)) - 7, 0) AS e FROM m WHERE NOT base_failed) GROUP BY ALL),
+    unnest([word_chars * 1000 // greatest(n_words, 1), (n_symbols + 1) * 1000000 // (word_chars + 2), (n_dup_lines + 1) * 1000000 // (n_lines + 2), (n_repeat_words + 1) * 1000000 // (n_words + 2)]) AS v FROM b),
+k AS (SELECT *, (v >> e) + 64 * e AS bk FROM (SELECT *, greatest(length(bin(v)) - 7, 0) AS e FROM m)),
+h AS (SELECT lang, source, metric, bk, count(*) AS n FROM k WHERE NOT base_failed GROUP BY ALL),
 lv AS (SELECT 2 AS lev, lang, source, metric, bk, n FROM h UNION ALL SELECT 1, lang, NULL, metric, bk, n FROM h UNION ALL SELECT 0, NULL, NULL, metric, bk, n FROM h),
 s AS (SELECT lev, lang, source, metric, bk, sum(n) AS n FROM lv GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, metric ORDER BY bk) AS upto, sum(n) OVER (PARTITION BY lev, lang, source, metric) AS total FROM s),
-q AS (SELECT lev, lang, source, metric, min(bk) FILTER (upto * 4 >= total) AS b1, min(bk) FILTER (upto * 4 >= total * 3) AS b3, max(total) AS total FROM c GROUP BY ALL),
-z AS (SELECT *, (b1 - 64 * greatest(b1 // 64 - 1, 0)) << greatest(b1 // 64 - 1, 0)::INT AS q1, (b3 - 64 * greatest(b3 // 64 - 1, 0)) << greatest(b3 // 64 - 1, 0)::INT AS q3 FROM q WHERE lev = 0 OR total >= MIN_GROUP),
-y AS (SELECT *, greatest(FENCE * (q3 - q1), CASE metric LEAST_SPREADS END) AS spread FROM z),
-x AS (SELECT lev, lang, source, metric, q3 + spread AS hi, CASE WHEN metric = 'word_len' THEN greatest(trunc(q1 - greatest(spread / 2, 2000)), 0) ELSE -1 END AS lo FROM y),
-j AS (SELECT m.doc_id, m.v BETWEEN coalesce(a.lo, e.lo, o.lo) AND coalesce(a.hi, e.hi, o.hi) AS ok FROM m
-    LEFT JOIN x a ON a.lev = 2 AND a.metric = m.metric AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
-    LEFT JOIN x e ON e.lev = 1 AND e.metric = m.metric AND e.lang IS NOT DISTINCT FROM m.lang LEFT JOIN x o ON o.lev = 0 AND o.metric = m.metric),
-k AS (SELECT doc_id, bool_and(coalesce(ok, true)) AS ok FROM j GROUP BY doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM b JOIN k USING (doc_id)
+q AS (SELECT lev, lang, source, metric, CAST(max(total) AS BIGINT) AS n, 1000 * min(bk) FILTER (upto * 100 >= total * (100 - UPPER)) AS a,
+    1000 * min(bk) FILTER (upto * 100 >= total * 50) AS b, 1000 * min(bk) FILTER (upto * 100 >= total * UPPER) AS c FROM c GROUP BY ALL),
+p AS (SELECT x.lang, x.metric, (x.n * x.a + PRIOR * y.a) // (x.n + PRIOR) AS a, (x.n * x.b + PRIOR * y.b) // (x.n + PRIOR) AS b, (x.n * x.c + PRIOR * y.c) // (x.n + PRIOR) AS c
+    FROM q x JOIN q y ON y.lev = 0 AND x.metric = y.metric WHERE x.lev = 1),
+z AS (SELECT x.lang, x.source, x.metric, (x.n * x.a + PRIOR * y.a) // (x.n + PRIOR) AS a, (x.n * x.b + PRIOR * y.b) // (x.n + PRIOR) AS b, (x.n * x.c + PRIOR * y.c) // (x.n + PRIOR) AS c
+    FROM q x JOIN p y ON x.metric = y.metric AND x.lang IS NOT DISTINCT FROM y.lang WHERE x.lev = 2),
+x AS (SELECT lang, source, metric, c + REACH * (c - b) AS hi, CASE WHEN metric = 'word_len' THEN a - REACH * (b - a) ELSE -1 END AS lo FROM z),
+j AS (SELECT doc_id, k.bk * 1000 BETWEEN lo AND hi AS ok FROM k LEFT JOIN x ON x.metric = k.metric AND x.lang IS NOT DISTINCT FROM k.lang AND x.source IS NOT DISTINCT FROM k.source),
+o AS (SELECT doc_id, bool_and(coalesce(ok, true)) AS ok FROM j GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM b JOIN o USING (doc_id)
 """
 
 
 def _quality_sql() -> str:
-    least = " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in quality_rules.METRICS.items())
-    sql = QUALITY_SQL.replace("LEAST_SPREADS", least).replace("MIN_GROUP", str(quality_rules.MIN_GROUP))
-    return sql.replace("greatest(FENCE *", f"greatest({quality_rules.FENCE} *")
+    out = QUALITY_SQL
+    for name in ("UPPER", "PRIOR", "REACH"):
+        out = out.replace(name, str(getattr(quality_rules, name)))
+    return out
 
 
 ORACLE_SQL: dict[str, str] = {"op10_quality_rules": _quality_sql()}

@@ -45,6 +45,63 @@ def test_sketch_quartile_and_verdict(spark):
     assert not any(got[1000 + i] for i in range(10))
 
 
+def spread_docs():
+    """Two large sources, one of which often has symbols, and a small one."""
+    rng = random.Random(5)
+
+    def text(symbols):
+        words = [f"w{rng.randint(0, 10**6):06d}" for _ in range(rng.randint(60, 400))]
+        return " ".join(w + "#" * (rng.random() < symbols) for w in words)
+
+    rows = [(i, text(0), "en", "prose") for i in range(300)]
+    rows += [(1000 + i, text(rng.random() * 0.3), "en", "code") for i in range(300)]
+    rows += [(2000 + i, text(0), "en", "small") for i in range(3)]
+    probe = " ".join(f"w{i:06d}" + "#" * (i % 6 == 0) for i in range(200))
+    return rows + [(5000, probe, "en", "prose"), (5001, probe, "en", "code"), (5002, probe, "en", "small"), (5003, probe, None, None)]
+
+
+def test_sources_decide_differently(spark):
+    got = {r["doc_id"]: r["kept"] for r in Q.quality_report(docs_frame(spark, spread_docs())).collect()}
+    assert not got[5000] and got[5001]
+    assert sum(got[i] for i in range(300)) >= 294 and sum(got[1000 + i] for i in range(300)) >= 294
+
+
+def test_thresholds_equal_brute_force(spark):
+    """Quantiles of the sorted values, drawn toward language and everything."""
+    docs = docs_frame(spark, spread_docs())
+    featured = Q.with_features(docs)
+    f = F.col(Q._F)
+    values = featured.select("lang", "source", *[(Q.bucket(v)).alias(k) for k, v in Q.metric_values(f).items()], Q.base_failed(f).alias("bad")).where("not bad").collect()
+    got = {(r["g_lang"], r["g_source"]): r["fence"] for r in Q.fences(Q.sketches(featured)).collect()}
+
+    def cut(rows, metric, percent):
+        own = sorted(r[metric] for r in rows)
+        return 1000 * own[-(-len(own) * percent // 100) - 1]
+
+    def drawn(rows, metric, coarse):
+        n = len(rows)
+        return [(n * cut(rows, metric, p) + Q.PRIOR * c) // (n + Q.PRIOR) for p, c in zip((100 - Q.UPPER, 50, Q.UPPER), coarse)]
+
+    assert len(got) == 4
+    for (lang, source), fence in got.items():
+        of_lang = [r for r in values if r["lang"] == lang]
+        own = [r for r in of_lang if r["source"] == source]
+        for metric, two_sided in Q.METRICS.items():
+            top = [cut(values, metric, p) for p in (100 - Q.UPPER, 50, Q.UPPER)]
+            a, b, c = drawn(own, metric, drawn(of_lang, metric, top))
+            assert fence[metric]["hi"] == c + Q.REACH * (c - b)
+            assert fence[metric]["lo"] == (a - Q.REACH * (b - a) if two_sided else -1)
+
+
+def test_small_group_leans_on_its_language(spark):
+    """With three documents the thresholds are the language's; with many, those of texts like them."""
+    rows = spread_docs()
+    few = {r["g_source"]: r["fence"]["symbols"]["hi"] for r in Q.fences(Q.sketches(Q.with_features(docs_frame(spark, rows)))).collect()}
+    more = [(9000 + i, r[1], "en", "small") for i, r in enumerate(rows[:300])]
+    many = {r["g_source"]: r["fence"]["symbols"]["hi"] for r in Q.fences(Q.sketches(Q.with_features(docs_frame(spark, rows + more)))).collect()}
+    assert abs(many["small"] - many["prose"]) < abs(few["small"] - few["prose"]) / 2
+
+
 def test_odd_rows(spark):
     df = odd_docs(spark)
     assert Q.quality_report(df).count() == 9
