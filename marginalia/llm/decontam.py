@@ -12,22 +12,23 @@ reaches the threshold does WAND run: cursors over postings in item order, a
 pivot where the bounds of the lists add up to the threshold, a check of the block maxima
 at the pivot, and a full score only past both.  Everything above the threshold is retrieved.
 
-A retrieved item is verified on the whole document: the share of the question's
-five-word shingles in the document, and that of the words of the
+A retrieved item is verified around the passages that retrieved it, an item's length to
+either side: the share of the question's five-word shingles there, and that of the words of the
 answer (the last sentence of an item, else its last quarter).  A question of fewer than five
 words is one shingle of its own width, looked for among the document's shingles of that width.
 
 The index is sent to the tasks, up to ``INDEX_BYTES`` of item text; a larger
-benchmark is indexed in several parts, each of them bounded, that all documents query in turn.
+benchmark is indexed in several parts.  Each part is a pass over the documents of its own, so
+that a task never holds more than one of them, and the counts of BM25 (items, mean length,
+items with a term) are those of the whole benchmark in every part: parts change no score.
 
 Defined results.  Items with null or wordless text are left out; null documents
-count as empty and match nothing.  Items with equal text all match.  Repeated documents
-give repeated rows.  An empty table on either side gives an empty result.  Null
+count as empty and match nothing.  Items with equal text all match; a repeated row of the benchmark counts once.
+Items at the threshold (ties) are retrieved.  Repeated documents give repeated rows.  Documents of any length are
+searched whole.  An empty table on either side gives an empty result.  Null
 item_id and doc_id are passed on.  Other columns pass through ``drop_contaminated`` untouched.
 """
 
-
-
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import staged
 from marginalia.llm.words import groups, mix, word_hashes
 
 STRIDE = 32
@@ -77,9 +79,13 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """The inverted index of a bounded list of items."""
+    """The inverted index of a bounded list of items.
+
+    counts are those of the whole benchmark: items, words, and items by the hash of a term;
+    without them the items are all there is.
+    """
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], counts: tuple[int, int, dict[int, int]] | None = None):
         self.ids = [i for i, _ in items]
         hashes, first = word_hashes(encode([t for _, t in items]))
         own = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -90,12 +96,16 @@ class Index:
         self.answer = [np.unique(word_hashes(encode([a]))[0]) for _, a in parts]
         self.terms, number = np.unique(hashes, return_inverse=True)
         n, sizes = len(items), np.array([len(x) for x in own])
-        mean = sizes.mean()
+        self.sizes = sizes
         lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        counts = [np.unique(number[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
-        df = np.bincount(np.concatenate([t for t, _ in counts]), minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        for i, (t, tf) in enumerate(counts):
+        each = [np.unique(number[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
+        if counts is None:
+            df, mean, every = np.bincount(np.concatenate([t for t, _ in each]), minlength=len(self.terms)), sizes.sum() / n, n
+        else:
+            every, mean = counts[0], counts[1] / counts[0]
+            df = np.fromiter((counts[2][t] for t in self.terms.tolist()), np.int64, len(self.terms))
+        idf = np.log1p((every - df + 0.5) / (df + 0.5))
+        for i, (t, tf) in enumerate(each):
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[i] / mean))
             full = w.sum() * min(1.0, 1.5 * STRIDE / sizes[i])
             for term, x in zip(t.tolist(), (w / full).tolist(), strict=True):
@@ -164,16 +174,13 @@ class Index:
                 c[1] = bisect_left(docs, item, c[1])
                 c[0] = docs[c[1]] if c[1] < len(docs) else _END
 
-    def verify(self, item: int, words: np.ndarray, doc_shingles: dict[int, np.ndarray]) -> tuple[float, float]:
-        """Shares of the question's shingles and of the answer's words in the document.
-        doc_shingles keeps the document's shingles by width."""
+    def verify(self, item: int, words: np.ndarray) -> tuple[float, float]:
+        """Shares of the question's shingles and of the answer's words in some words of a document."""
         q, a, width = self.question[item], self.answer[item], self.width[item]
         if width > len(words):
             return 0.0, 0.0
-        if width not in doc_shingles:
-            doc_shingles[width] = np.unique(shingles(words, width))
         return (
-            float(np.isin(q, doc_shingles[width]).mean()) if len(q) else 1.0,
+            float(np.isin(q, shingles(words, width)).mean()) if len(q) else 1.0,
             float(np.isin(a, words).mean()) if len(a) else 1.0,
         )
 
@@ -184,19 +191,23 @@ class Index:
             hashes, first = word_hashes(raw[part])
             at = self.numbers(hashes)
             for k, hits in enumerate(self._retrieve(at, first)):
-                found = []
-                if hits:
-                    words = hashes[first[k] : first[k + 1]]
-                    own: dict[int, np.ndarray] = {}
-                    for item, score in sorted(hits.items()):
-                        q, a = self.verify(item, words, own)
-                        if q >= QUESTION_SHARE and a >= ANSWER_SHARE:
-                            found.append((self.ids[item], score, q, a))
+                words, found = hashes[first[k] : first[k + 1]], []
+                for item, passages in sorted(hits.items()):
+                    room, best = int(self.sizes[item]), None
+                    for score, start in sorted(passages, key=lambda x: (-x[0], x[1])):
+                        q, a = self.verify(item, words[max(0, start - room) : start + 2 * STRIDE + room])
+                        if q >= QUESTION_SHARE and a >= ANSWER_SHARE and (best is None or (q, a) > best[2:]):
+                            best = (self.ids[item], score, q, a)
+                            if q == a == 1.0:
+                                break
+                    if best:
+                        found.append((best[0], max(x for x, _ in passages), *best[2:]))
                 out.append(found)
         return out
 
-    def _retrieve(self, at: np.ndarray, first: np.ndarray) -> list[dict[int, float]]:
-        hits: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
+    def _retrieve(self, at: np.ndarray, first: np.ndarray) -> list[dict[int, list[tuple[float, int]]]]:
+        """Per text the items above the threshold, each with the scores and first words of its passages."""
+        hits: list[dict[int, list[tuple[float, int]]]] = [{} for _ in range(len(first) - 1)]
         starts = [np.arange(a, b, STRIDE) for a, b in zip(first[:-1], first[1:], strict=True)]
         doc = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
         chunk = np.concatenate(starts).astype(np.int64) if len(starts) else np.empty(0, np.int64)
@@ -214,55 +225,89 @@ class Index:
             if self.bounds[query].sum(axis=0).max(initial=0) < THRESHOLD - 1e-4:
                 continue
             for item, score in self.wand(query.tolist()):
-                hits[k][item] = max(score, hits[k].get(item, 0.0))
+                hits[k].setdefault(item, []).append((score, int(chunk[p] - first[k])))
         return hits
 
 
-def index_parts(benchmark: DataFrame):
-    """Bounded lists of (item_id, text) that together hold all items."""
+def _item_rows(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).distinct()
+
+
+def _term_rows(batches):
+    import pandas as pd
+
+    for pdf in batches:
+        for text, part in zip(pdf["text"], pdf["part"], strict=True):
+            yield pd.DataFrame({"term": np.unique(word_hashes(encode([text]))[0]).view(np.int64), "part": part})
+
+
+def index_parts(benchmark: DataFrame):
+    """Bounded lists of (item_id, text) that together hold all items, each with the counts
+    of the whole benchmark for its terms (None where there is one part)."""
+    rows = _item_rows(benchmark)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // INDEX_BYTES)
+    if parts > 1:
+        rows = staged(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")), "items")
+        terms = rows.select("text", "part").mapInPandas(_term_rows, "term long, part int")
+        df = staged(terms.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("part").alias("parts")), "df")
+        n = rows.count()
+        words = rows.select(F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n")).agg(F.sum("n")).first()[0]
     for k in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        own = rows.where(F.col("part") == k).select("item_id", "text") if parts > 1 else rows
         items = sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        counts = None
+        if parts > 1:
+            found = df.where(F.array_contains("parts", F.lit(k))).select("term", "df").collect()
+            counts = (n, words, {r["term"] & (1 << 64) - 1: r["df"] for r in found})
         if items:
-            yield items
+            yield items, counts
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, column: str) -> DataFrame:
-    """docs plus an array of the verified items of each text."""
-    import pandas as pd
+MATCH = "item_id long, score double, question_share double, answer_share double"
+
 
-    kind = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
-    found = F.array().cast(kind)
-    for items in index_parts(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row per document and verified item: doc_id, item_id, score and both shares."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = spark.createDataFrame([], f"doc_id long, {MATCH}")
+    for k, sent in enumerate(spark.sparkContext.broadcast(x) for x in index_parts(benchmark)):
+        found = rows.mapInPandas(_matches(sent), f"doc_id long, {MATCH}")
+        out = found if k == 0 else out.unionByName(found)
+    return out.withColumn("score", F.round("score", 6))
 
-        @F.pandas_udf(kind)
-        def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = Index(sent.value)
-            for texts in batches:
-                yield pd.Series(
-                    [
-                        [dict(zip(("item_id", "score", "question", "answer"), m, strict=True)) for m in found]
-                        for found in index.matches(texts.tolist())
-                    ]
-                )
 
-        found = F.concat(found, look_up(F.col("text").cast("string")))
-    return docs.withColumn(column, found)
+def _matches(sent):
+    def run(batches):
+        import pandas as pd
 
+        index = Index(*sent.value)
+        for pdf in batches:
+            rows = [(doc_id, *m) for doc_id, found in zip(pdf["doc_id"], index.matches(pdf["text"].tolist()), strict=True) for m in found]
+            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_share", "answer_share"])
+            yield out.astype({"doc_id": "Int64", "item_id": "Int64", "score": float, "question_share": float, "answer_share": float})
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per document and verified item: doc_id, item_id, score and both shares."""
-    rows = with_matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "m")
-    return rows.select("doc_id", F.explode("m").alias("m")).select(
-        "doc_id", "m.item_id", F.round("m.score", 6).alias("score"), F.col("m.question").alias("question_share"), F.col("m.answer").alias("answer_share")
-    )
+    return run
+
+
+def _clean(sent):
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(*sent.value)
+        for texts in batches:
+            yield pd.Series([not found for found in index.matches(texts.tolist())], dtype=bool)
+
+    return clean
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with the columns of docs."""
-    return with_matches(docs, benchmark, "__decontam_m").where(F.size("__decontam_m") == 0).select(*docs.columns)
+    out = docs
+    for k, sent in enumerate(docs.sparkSession.sparkContext.broadcast(x) for x in index_parts(benchmark)):
+        out = staged(out, "clean") if k else out
+        out = out.where(_clean(sent)(F.col("text").cast("string")))
+    return out

@@ -62,6 +62,32 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     assert left == set(range(60)) - {d for d, _ in want}
 
 
+def test_parts_change_no_score(spark, monkeypatch):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 30)))) for i in range(25)] + [(3, "w1 w2 w3")] * 2
+    docs = [(d, " ".join(rng.choice(vocabulary) for _ in range(40)) + " " + rng.choice(items)[1]) for d in range(40)]
+
+    def found():
+        return sorted(map(tuple, decontam.contaminated(docs_frame(spark, docs), bench_frame(spark, items)).collect()))
+
+    whole = found()
+    assert whole
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 900)
+    assert found() == whole
+
+
+def test_answer_has_to_stand_by_the_question(spark):
+    """A long text that holds all words of the answer, but far from the question, is clean."""
+    question = " ".join(f"q{i}" for i in range(20))
+    answer = "red green blue"
+    item = f"{question}. {answer}"
+    filler = " ".join(f"f{i}" for i in range(400))
+    docs = [(1, f"{question}. none of those {filler} {answer}"), (2, f"{filler} {item} {filler}")]
+    got = {r["doc_id"] for r in decontam.contaminated(docs_frame(spark, docs), bench_frame(spark, [(1, item)])).collect()}
+    assert got == {2}
+
+
 def test_items_of_few_words(spark):
     items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 8)] + [(10, "Who wrote Hamlet ? William Shakespeare")]
     filler = " ".join(f"f{k}" for k in range(70))
