@@ -57,7 +57,7 @@ MOST = 120
 LONG = 400
 SMALL = 8
 #: Lengths whose ratio is below this share a band in the exact way.
-BAND = 1.05
+BAND = 1.1
 #: Up to so many rows of a few longs (under 64 bytes each) are broadcast.
 BROADCAST_KEYS = 100_000
 _SEEDS = mix(np.arange(1, 128, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -268,7 +268,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     crowd = _open(members, labels)
     dense = crowd.where(F.col("size") > SMALL).select("node", "label").distinct()
     wanted = _across(crowd.where((F.col("size") > 2) & (F.col("size") <= SMALL) & (F.col("node") != F.col("hub"))).select("h", "node", "n", "label"))
-    wanted = wanted.unionByName(_across(_prefixes(texts, staged(dense, "dense"))))
+    wanted = wanted.unionByName(_rare_pairs(texts, staged(dense, "dense")))
     more = staged(wanted.distinct().join(pairs, ["node", "hub"], "left_anti"), "pairs")
     labels = merged_labels(labels, _verified(texts, more))
     return uniq.join(labels, "node", "left").select("node", "tkey", "doc_id", "rows", F.coalesce("label", "node").alias("label"))
@@ -305,64 +305,81 @@ def band_starts() -> list[int]:
     return out
 
 
-def prefix_keys(n: int, before: int, rare: np.ndarray) -> np.ndarray:
-    """The keys (shingle and two bands) of the prefixes of a text of n shingles.  The first
-    before of them in the common order no other text has; rare are the next ones."""
+def prefix_keys(n: int, before: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (shingle, band of the shorter and of the longer text) of the prefixes of a text of n
+    shingles, and the side on which it stands in each: 0 shorter, 1 longer, 2 both in one band.  The
+    first before of them in the common order no other text has; rare are the next ones."""
     starts = band_starts()
-    own, out = bisect_right(starts, n) - 1, []
+    own, keys, sides = bisect_right(starts, n) - 1, [], []
     least = -(-4 * n // 5)
     for band in range(bisect_right(starts, least) - 1, bisect_right(starts, 5 * n // 4)):
         other = max(starts[band], least)
-        size = n - -(-4 * (n + other) // 9) + 1 - before
+        size = min(n - -(-4 * (n + other) // 9) + 1 - before, len(rare))
         if size > 0:
             lo, hi = sorted((own, band))
-            out.append(mix(rare[:size] + np.uint64((lo * 4096 + hi + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            keys.append(mix(rare[:size] + np.uint64((lo * 4096 + hi + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+            sides.append(np.full(size, 2 if lo == hi else int(own == hi), np.int32))
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    return np.concatenate(keys), np.concatenate(sides)
 
 
-def _listed(rows, column: str, most: int = 1 << 18):
-    """Frames of (node, n, keys) rows with a row per key, of bounded size but for single texts."""
+def _frames(rows, columns: tuple[str, ...], most: int = 1 << 18):
+    """Frames of bounded size (but for single texts) from rows (lists, scalars) with a row per entry of
+    the lists, which become longs."""
     import pandas as pd
 
+    def frame(held):
+        counts = [len(lists[0]) for lists, _ in held]
+        out = {}
+        for k, column in enumerate(columns):
+            n = len(held[0][0])
+            if k < n:
+                own = np.concatenate([lists[k] for lists, _ in held])
+                out[column] = own.view(np.int64) if own.dtype == np.uint64 else own
+            else:
+                out[column] = np.repeat(np.array([more[k - n] for _, more in held], np.int64), counts)
+        return pd.DataFrame(out)
+
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[2])
+        size += len(row[0][0])
         if size > most:
-            yield _frame(pd, held, column)
+            yield frame(held)
             held, size = [], 0
     if held:
-        yield _frame(pd, held, column)
-
-
-def _frame(pd, held, column: str):
-    counts = [len(x) for _, _, x in held]
-    out = {k: np.repeat(np.array([row[i] for row in held], kind), counts) for i, (k, kind) in enumerate((("node", np.int64), ("n", np.int32)))}
-    return pd.DataFrame(out | {column: np.concatenate([x for _, _, x in held]).view(np.int64)})
+        yield frame(held)
 
 
 def _shingle_rows(batches):
     for pdf in batches:
-        yield from _listed(zip(pdf["node"], pdf["n"], _shingles_of(pdf["text"].tolist()), strict=True), "s")
+        each = zip(pdf["node"], pdf["n"], pdf["label"], _shingles_of(pdf["text"].tolist()), strict=True)
+        yield from _frames((((x,), more) for *more, x in each), ("s", "node", "n", "label"))
 
 
 def _prefix_rows(batches):
     for pdf in batches:
-        each = zip(pdf["node"], pdf["n"], pdf["known"], pdf["rare"], strict=True)
-        yield from _listed(((i, n, prefix_keys(n, n - known, np.asarray(rare, np.int64).view(np.uint64))) for i, n, known, rare in each), "h")
+        each = zip(pdf["node"], pdf["n"], pdf["label"], pdf["known"], pdf["rare"], strict=True)
+        rows = ((prefix_keys(n, n - known, np.asarray(rare, np.int64).view(np.uint64)), (i, n, label)) for i, n, label, known, rare in each)
+        yield from _frames(rows, ("h", "side", "node", "n", "label"))
 
 
-def _prefixes(texts: DataFrame, dense: DataFrame) -> DataFrame:
-    """Rows (h, node, n, label) of the prefixes that texts of different classes among dense share."""
-    rows = texts.join(_small(dense), "node").select("node", "n", "text").mapInPandas(_shingle_rows, "node long, n int, s long")
+def _rare_pairs(texts: DataFrame, dense: DataFrame) -> DataFrame:
+    """All pairs (node, hub) of different classes among dense whose prefixes meet."""
+    rows = texts.select("node", "n", "text").join(_small(dense), "node").mapInPandas(_shingle_rows, "s long, node long, n int, label long")
     rows = staged(rows, "shingles")
     common = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     # One text's shingles are one row: as long as the text at most.
-    ranked = rows.join(common, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
-    keyed = ranked.select("node", "n", F.slice("x.s", F.lit(1), (F.col("n") / 5 + 2).cast("int")).alias("rare"), F.size("x").alias("known"))
-    keyed = staged(keyed.mapInPandas(_prefix_rows, "node long, n int, h long").join(_small(dense), "node"), "prefixes")
+    ranked = rows.join(common, "s").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    ranked = ranked.select("node", "n", "label", F.slice("x.s", F.lit(1), (F.col("n") / 5 + 2).cast("int")).alias("rare"), F.size("x").alias("known"))
+    keyed = staged(ranked.mapInPandas(_prefix_rows, "h long, side int, node long, n int, label long"), "prefixes")
     mixed = keyed.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    return staged(keyed.join(_small(mixed), "h"), "open")
+    at = staged(keyed.join(_small(mixed), "h"), "open")
+    other = at.select("h", F.col("side").alias("hub_side"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+    sides = "((side = 0 and hub_side = 1) or (side = 2 and hub_side = 2 and hub < node))"
+    both = at.join(other, "h").where(f"{sides} and label <> hub_label and {FIT.format('n', 'hub_n')}")
+    return both.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub"))
 
 
 def _texts(rows: DataFrame, uniq: DataFrame, nodes: DataFrame) -> DataFrame:
