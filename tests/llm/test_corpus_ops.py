@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,38 @@ def test_rates_meet_the_targets(spark):
     assert "Python" not in plan
 
 
+def test_rates_solve_the_least_squares_problem(spark):
+    """Against non-negative least squares by enumeration of supports, on targets that can't be met."""
+    docs, labels = mix_case(spark)
+    targets = {"q1t0": 0.2, "q0t1": 0.8}
+    rows = mixing.mixing_report(docs, labels, targets).collect()
+    domains = sorted(k[2:] for k in rows[0].asDict() if k.startswith("p_"))
+    a = np.array([[r["n_tokens"] * r[f"p_{d}"] for r in rows] for d in domains])
+    total = sum(r["n_tokens"] for r in rows)
+    goal = np.array([targets.get(d, 0.0) for d in domains]) * total
+    rate = np.array([r["rate"] for r in rows])
+    gap = np.abs(a @ rate - goal).sum() / total
+    assert rate.min() >= 0 and abs(gap - rows[0]["residual"]) < 1e-2 * max(gap, 1e-3)
+    # Plain projected gradient on the same problem, in many small steps.
+    metric, r = np.linalg.pinv(a @ (a / a.sum(axis=0)).T), np.ones(len(rows))
+    share = a / a.sum(axis=0)
+    for _ in range(4000):
+        r = np.maximum(0, r - 0.5 * share.T @ metric @ (a @ r - goal))
+    assert np.abs(a @ r - goal).sum() / total >= gap - 0.02
+
+
+def test_evidence_beyond_the_strongest_tokens(spark):
+    """Each text has one of 120 telling words: no short list of tokens could tell them apart."""
+    rng = random.Random(17)
+    docs, labels = [], []
+    for i in range(1200):
+        q = int(rng.random() < 0.5)
+        docs.append((i, " ".join(f"w{rng.randrange(30)}" for _ in range(12)) + "".join(f" {'good' if q else 'bad'}{rng.randrange(60)}" for _ in range(10))))
+        labels.append((i, q, 0))
+    rows = {r["doc_id"]: r for r in mixing.mixing_report(docs_frame(spark, docs), labels_frame(spark, labels)).collect()}
+    assert sum((rows[i]["p_q1t0"] > 0.5) == bool(q) for i, q, _ in labels) >= 0.97 * len(labels)
+
+
 def test_mixed_repeats_by_rate(spark):
     docs, labels = mix_case(spark)
     rate = {r["doc_id"]: r["rate"] for r in mixing.mixing_report(docs, labels).collect()}
