@@ -13,14 +13,17 @@ Keys order like the identifiers: a byte 0 for null, else a byte 1 and the
 64-bit big-endian value with its sign bit flipped.  A value is the ids of one
 document with the end id, 2 bytes each where the vocabulary fits, else 4.
 
-Documents are dealt out by ranges of doc_id and sorted, so that shards follow
-each other; each task streams its rows into one file, written under a name of
-its own and renamed when whole, so a repeated or speculative task does no harm.
+Documents are dealt out by ranges of doc_id and the start of the text, and sorted, so that shards follow
+each other; each task streams its rows into one file of a name of its own.  Only files
+in the shard list, which Spark commits task by task, count, so a repeated or speculative task does no
+harm and no file is ever renamed or overwritten; a task that fails removes its own.  The list has the range
+of identifiers of each shard, so that ``lookup`` opens only those that can hold one.
 The files are written through the file system of the shared folder.
 
 Defined results.  Null text counts as empty: just the end id.  Null doc_id sorts
 first.  Repeated doc_id values keep one entry each; their order among
-themselves follows the text.  An empty table gives no shards and no rows.
+themselves follows the text; those with the same first ``DEALT`` characters stand in one shard.  Texts of
+any length are encoded whole.  An empty table gives no shards and no rows.
 Other columns are not read.
 """
 
@@ -46,6 +49,8 @@ BLOOM_HASHES = 7
 MAGIC = b"MGSST001"
 FOOTER = struct.Struct("<QQQQQQH6x8s")
 END_ID = 0
+#: Characters of a text that, after doc_id, decide on its shard.
+DEALT = 64
 #: Distinct chunks remembered by an encoder, about 150 bytes each.
 CACHE_CHUNKS = 900_000
 
@@ -230,6 +235,7 @@ class ShardReader:
             key = raw[spot + 2 : spot + 2 + k]
             self.index.append((key, *struct.unpack_from("<QI", raw, spot + 2 + k)))
             spot += 14 + k
+        self.firsts = [e[0] for e in self.index]
 
     def _block(self, entry: tuple[bytes, int, int]) -> Iterator[tuple[bytes, bytes]]:
         buf, at, key = self.file.read_at(entry[2], entry[1]), 0, b""
@@ -252,7 +258,7 @@ class ShardReader:
         key = encode_key(doc_id)
         if not all(self.bloom[x >> 3] >> (x & 7) & 1 for x in _bloom_spots(key, self.bits)):
             return []
-        k = max(0, bisect.bisect_left([e[0] for e in self.index], key) - 1)
+        k = max(0, bisect.bisect_left(self.firsts, key) - 1)
         out = []
         for entry in self.index[k:]:
             if entry[0] > key:
@@ -287,9 +293,12 @@ def _encoder(tokenizer: str) -> ChunkEncoder:
     return _ENCODERS[tokenizer]
 
 
+SHARD = "shard_no long, path string, n_docs long, n_tokens long, first_id long, last_id long, has_null boolean"
+
+
 def write_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
-    """Write docs as shards; one row per shard: shard_no, path, n_docs, n_tokens
-    and start, the number of ids in the shards before it.
+    """Write docs as shards; one row per shard: shard_no, path, n_docs, n_tokens, first_id and last_id (the
+    least and largest doc_id, null where all are), has_null, and start, the number of ids in the shards before it.
 
     tokenizer is a file of the public tokenizers, or a path that all executors
     can open.
@@ -306,38 +315,65 @@ def write_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", folder:
         part = TaskContext.get().partitionId()
         fs, base = _fs(folder)
         writer = stream = None
-        final, temp = f"{base}/shard-{part:07d}.sst", f"{base}/.{part:07d}-{uuid.uuid4().hex}"
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(ids), 512):
-                if writer is None:
-                    fs.create_dir(base, recursive=True)
-                    stream = fs.open_output_stream(temp)
-                    writer = ShardWriter(stream, enc.dtype.itemsize)
-                for doc_id, value in zip(ids[lo : lo + 512], enc(texts[lo : lo + 512]), strict=True):
-                    writer.add(encode_key(doc_id), value + end)
+        name, edges = f"shard-{part:07d}-{uuid.uuid4().hex[:12]}.sst", [None, None, False]
+        try:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for lo in range(0, len(ids), 512):
+                    if writer is None:
+                        fs.create_dir(base, recursive=True)
+                        stream = fs.open_output_stream(f"{base}/{name}")
+                        writer = ShardWriter(stream, enc.dtype.itemsize)
+                    for doc_id, value in zip(ids[lo : lo + 512], enc(texts[lo : lo + 512]), strict=True):
+                        writer.add(encode_key(doc_id), value + end)
+                        if doc_id is None:
+                            edges[2] = True
+                        else:
+                            edges[:2] = [doc_id if edges[0] is None else edges[0], doc_id]
+            if writer is not None:
+                writer.close()
+                stream.close()
+        except BaseException:
+            if stream is not None:
+                stream.close()
+                fs.delete_file(f"{base}/{name}")
+            raise
         if writer is not None:
-            writer.close()
-            stream.close()
-            fs.move(temp, final)
-            yield pa.RecordBatch.from_pydict(
-                {"shard_no": [part], "path": [f"{folder}/shard-{part:07d}.sst"], "n_docs": [writer.n], "n_tokens": [writer.tokens]},
-                schema=pa.schema([("shard_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
-            )
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            row = (part, f"{folder}/{name}", writer.n, writer.tokens, *edges)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SHARD.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
-    shards = staged(
-        ordered.mapInArrow(write, "shard_no long, path string, n_docs long, n_tokens long"), "shards"
-    )
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = rows.repartitionByRange(by_id, F.substring("text", 1, DEALT)).sortWithinPartitions(by_id, "text")
+    shards = staged(ordered.mapInArrow(write, SHARD), "shards")
     # One small row per shard: the only rows that this running total sees.
     before = Window.orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
 
+def lookup(shards: DataFrame, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id and ids of the documents with these identifiers; opens only the shards whose range holds one."""
+    wanted = sorted({int(i) for i in doc_ids if i is not None})
+    with_null = any(i is None for i in doc_ids)
+    some = F.array(*[F.lit(i) for i in wanted]).cast("array<bigint>")
+    inside = F.exists(some, lambda x: x.between(F.col("first_id"), F.col("last_id")))
+    chosen = shards.where(F.coalesce(inside, F.lit(False)) | (F.col("has_null") & F.lit(with_null)))
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path in pdf["path"]:
+                reader = ShardReader(path)
+                found = [(i, x.tolist()) for i in [*wanted, *[None] * with_null] for x in reader.get(i)]
+                reader.close()
+                yield pd.DataFrame({"doc_id": pd.array([i for i, _ in found], "Int64"), "ids": [x for _, x in found]})
+
+    return chosen.select("path").mapInPandas(read, "doc_id long, ids array<long>")
+
+
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
 

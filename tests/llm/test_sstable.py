@@ -48,6 +48,24 @@ def test_round_trip_and_lookup(spark, tmp_path):
         start += r["n_tokens"]
 
 
+def test_lookup_opens_only_shards_in_range(spark, tmp_path, monkeypatch):
+    rows = [(i // 2, f"text {i}") for i in range(4000)] + [(None, "no id")]
+    # All rows of one identifier, which ranges of doc_id alone can't part.
+    rows += [(9999, f"{i:04d} hot") for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = S.write_shards(docs_frame(spark, rows), folder=str(tmp_path / "sst")).cache()
+        assert shards.count() >= 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.where("first_id <= 9999 and last_id >= 9999").count() >= 2
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted((r["doc_id"] or -1, r["ids"]) for r in S.lookup(shards, [7, None, 123_456]).collect())
+    assert got == sorted([(-1, ids_of(tok, "no id")), (7, ids_of(tok, "text 14")), (7, ids_of(tok, "text 15"))])
+    assert S.lookup(shards, [9999]).count() == 3000 and S.lookup(shards, []).count() == 0
+    assert len(list((tmp_path / "sst").iterdir())) == shards.count()
+
+
 def test_odd_rows(spark):
     rows = S.token_output(odd_docs(spark)).collect()
     assert len(rows) == 9 and sum(r["n_tokens"] == 1 for r in rows) == 3
