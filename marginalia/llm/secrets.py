@@ -5,13 +5,16 @@ Candidates are runs of at least ``MIN_RUN`` characters of
 that covers it (hex, base32, base36, base62, base64, base64url) is inferred, with ``=`` as padding
 only.  A run that none covers is cut after each ``=`` and, where that leaves both ``+/`` and ``-_``, at
 the symbols of one base64; parts of ``MIN_RUN`` characters are candidates of their own, and without any the
-run is one of encoding ``mixed``.  A candidate has to look random: a
-chi-squared test of a uniform alphabet, a runs test about the median symbol and
-a test of the serial correlation, none of which may reject at ``ALPHA`` after
-Bonferroni's correction.  As evidence that it is no natural text, the
-likelihood ratio of the uniform alphabet against a model of words (letters by
-their frequency, sticky character classes) gives p = min(1, 1/LR), a valid
-p-value by Markov's inequality, which falls with length as the evidence grows.
+run is one of encoding ``mixed``.  The battery takes three statistics of a candidate, each near
+standard normal for random symbols of its encoding: chi-squared of a uniform alphabet, the runs about the
+median symbol, and the serial correlation.  None may reject randomness at ``ALPHA`` after Bonferroni's correction.
+
+The null hypothesis of the false-discovery control is natural text: letters by their frequency in
+sticky character classes.  How the three statistics spread there depends on encoding and length; mean and
+deviation come from ``DRAWN`` texts of that model at the lengths of a grid.  Each statistic then gives
+a likelihood ratio of random symbols against text, as does the run's symbol sequence itself.  Their geometric
+mean is an e-value (its expectation under the null is 1 at most, however the four depend on each other, as far as the
+normal shape holds), so p = min(1, 1/e) is a valid p-value by Markov's inequality, which falls with length as the evidence grows.
 Benjamini and Hochberg's procedure at level ``FDR`` runs apart in each band of lengths
 over all candidates of the corpus: the p-values are counted in bins of a tenth
 of a decade per band, a table of bounded size, so no candidate goes to the driver.
@@ -20,7 +23,8 @@ Added spans have the kind ``random`` and never overlap a base span.
 
 Defined results.  Null text counts as empty: zero counts, no spans.  Repeated
 rows are judged row by row.  An empty table gives an empty result.  Other columns
-are not read.  Very long runs of one encoding are one candidate, tested whole.
+are not read.  Very long runs of one encoding are one candidate, tested whole.  Candidates with equal
+evidence (ties) are accepted or not together.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from functools import cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +50,11 @@ MAX_BIN = 400
 #: Bands of candidate lengths, by their least length.
 BANDS = (20, 24, 32, 48, 64, 128)
 STICK = 0.85
+#: Texts drawn per encoding and length to learn how the battery spreads on text, and the lengths.
+DRAWN = 240
+LENGTHS = (20, 26, 34, 48, 72, 128, 256, 1024)
+#: Most that one statistic says for or against text, in natural logarithms.
+MOST = 30.0
 
 BASE = ("assign", "access", "hex")
 # The base patterns; letters of the assign key words in either case.
@@ -92,35 +104,87 @@ def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def battery(run: str) -> tuple[str, float, float]:
-    """Encoding, p-value of randomness, log likelihood ratio against words."""
-    raw = np.frombuffer(run.rstrip("=").encode(), np.uint8)
-    if len(raw) < 2:
-        return "base64", 0.0, -1.0
+def encoding(raw: np.ndarray) -> tuple[str, np.ndarray]:
+    """The narrowest encoding of a run without padding, and its symbols' numbers."""
     for name, table in CODE.items():
         x = table[raw]
         if (x >= 0).all():
             break
-    n, size = len(x), len(ALPHABETS[name])
+    return name, x
+
+
+def statistics(x: np.ndarray, size: int) -> tuple[float, float, float]:
+    """Chi-squared, runs and serial correlation of symbol numbers, each near standard normal if random."""
+    n = len(x)
     expected = n / size
     chi = float((np.bincount(x, minlength=size) ** 2).sum() / expected - n)
     # Wilson and Hilferty: the cube root of chi-squared over its freedom is near normal.
     free = size - 1
     z = ((max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
-    p_chi = _normal_tail(z) / 2 if z > 0 else 1.0
     high = x >= size / 2
     a, b = int(high.sum()), int(n - high.sum())
     runs = 1 + int((high[1:] != high[:-1]).sum())
     mean = 2 * a * b / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = _normal_tail((runs - mean) / math.sqrt(var)) if var > 0 else 0.0
     y = x - x.mean()
     power = float((y * y).sum())
-    p_serial = _normal_tail(float((y[1:] * y[:-1]).sum()) / power * math.sqrt(n)) if power else 0.0
+    return (
+        z,
+        (runs - mean) / math.sqrt(var) if var > 0 else -MOST,
+        float((y[1:] * y[:-1]).sum()) / power * math.sqrt(n) if power else MOST,
+    )
+
+
+@cache
+def _on_text(name: str, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the statistics on the text model, at a length of the grid."""
+    rng = np.random.default_rng([len(name), length, *name.encode()])
+    symbols = np.frombuffer(ALPHABETS[name].encode(), np.uint8)
+    classes = [symbols[KIND[symbols] == k] for k in range(4)]
+    weight = [np.exp(LOG_IN[c]) / np.exp(LOG_IN[c]).sum() if len(c) else None for c in classes]
+    there = [k for k in range(4) if len(classes[k])]
+    out = []
+    for _ in range(DRAWN):
+        switch = rng.random(length) >= STICK
+        turn = np.cumsum(switch)
+        # The class of each stretch, by steps to another class.
+        steps = rng.integers(1, max(2, len(there)), turn[-1] + 1)
+        order = (rng.integers(0, len(there)) + np.cumsum(steps)) % len(there)
+        kinds = np.array(there)[order[turn]]
+        raw = np.empty(length, np.uint8)
+        for k in there:
+            at = np.flatnonzero(kinds == k)
+            raw[at] = rng.choice(classes[k], len(at), p=weight[k])
+        out.append(statistics(CODE[name][raw], len(symbols)))
+    x = np.clip(np.array(out), -1e3, 1e3)
+    return x.mean(axis=0), np.maximum(x.std(axis=0), 0.5)
+
+
+def against_text(name: str, n: int, stats: tuple[float, float, float]) -> list[float]:
+    """Per statistic the log likelihood ratio of random symbols against text."""
+    k = min(range(len(LENGTHS)), key=lambda i: abs(math.log(LENGTHS[i] / n)))
+    mean, dev = _on_text(name, LENGTHS[k])
+    out = []
+    for z, m, s in zip(stats, mean.tolist(), dev.tolist(), strict=True):
+        ratio = -z * z / 2 + ((z - m) / s) ** 2 / 2 + math.log(s)
+        out.append(max(-MOST, min(MOST, ratio)))
+    return out
+
+
+def battery(run: str) -> tuple[str, float, float]:
+    """Encoding, p-value of randomness, and the log of the e-value against text."""
+    raw = np.frombuffer(run.rstrip("=").encode(), np.uint8)
+    if len(raw) < 2:
+        return "base64", 0.0, -1.0
+    name, x = encoding(raw)
+    n, size = len(x), len(ALPHABETS[name])
+    z = statistics(x, size)
+    p_chi = _normal_tail(z[0]) / 2 if z[0] > 0 else 1.0
     kinds = KIND[raw]
     switches = int((kinds[1:] != kinds[:-1]).sum())
     words = float(LOG_IN[raw].sum()) + switches * math.log((1 - STICK) / 3) + (n - 1 - switches) * math.log(STICK)
-    return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), -n * math.log(size) - words
+    ratios = [*against_text(name, n, z), -n * math.log(size) - words]
+    return name, min(1.0, 3 * min(p_chi, _normal_tail(z[1]), _normal_tail(z[2]))), sum(ratios) / len(ratios)
 
 
 def parts_of(run: str) -> list[tuple[int, int]]:
@@ -149,16 +213,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, runs: list[re.Match], base: list[tuple[int, int, int]]):
-    """(start, end, encoding, bin) of the runs that stand apart from base spans."""
+    """(start, end, encoding, bin) of the runs that stand apart from base spans (sorted by start)."""
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))
     for m in runs:
         for lo, hi in parts_of(m[0]):
             run, start, end = m[0][lo:hi], m.start() + lo, m.start() + hi
             if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
                 continue
-            if any(s < end and e > start for s, _, e in base):
+            before = bisect_left(starts, end)
+            if before and ends[before - 1] > start:
                 continue
-            name, random, llr = battery(run)
-            score = max(0.0, llr) / math.log(10) if random >= ALPHA else 0.0
+            name, random, evidence = battery(run)
+            score = max(0.0, evidence) / math.log(10) if random >= ALPHA else 0.0
             yield start, end, name, min(MAX_BIN, int(score / BIN))
 
 

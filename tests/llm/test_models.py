@@ -136,6 +136,41 @@ def test_battery_rejects_patterns():
     assert secrets.battery("aaaaaaaaaaaaaaaaaaaaaaa1")[1] < secrets.ALPHA
 
 
+def test_false_discovery_control_equals_brute_force(spark):
+    """Benjamini and Hochberg's procedure over all candidates of a band of lengths."""
+    rng = random.Random(21)
+    cand = [(rng.choice((20, 23, 30, 60, 200)), max(0, min(secrets.MAX_BIN, int(rng.gauss(12, 14))))) for _ in range(600)]
+    rows = [(i, [(5, 5 + n, "hex", b) for n, b in cand[i : i + 20]]) for i in range(0, len(cand), 20)]
+    scanned = spark.createDataFrame(rows, "doc_id long, cand array<struct<start:int,end:int,encoding:string,bin:int>>")
+    least = secrets.thresholds(scanned)
+    of_length = lambda n: max(k for k, low in enumerate(secrets.BANDS) if n >= low)
+    assert any(x <= secrets.MAX_BIN for x in least)
+    for k in range(len(secrets.BANDS)):
+        p = sorted(10 ** (-b * secrets.BIN) for n, b in cand if of_length(n) == k)
+        passing = [x for i, x in enumerate(p, 1) if x <= secrets.FDR * i / len(p)]
+        for n, b in cand:
+            if of_length(n) == k:
+                assert (b >= least[k]) == (bool(passing) and 10 ** (-b * secrets.BIN) <= passing[-1])
+
+
+def test_evidence_of_random_runs_and_of_text():
+    rng = random.Random(22)
+    for name in ("base36", "base62", "base64"):
+        for n in (100, 1000, 10_000):
+            runs = ["".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n)) for _ in range(40)]
+            assert sum(p >= secrets.ALPHA and e > 5 for _, p, e in map(secrets.battery, runs)) >= 38
+    for text in ("the-quick-brown-fox-jumped-2024-again-and-again", "com/some/path/to/a/page123/index", "user_name_first_1_last_2_middle_3"):
+        assert secrets.battery(text)[2] < 0
+
+
+def test_overlap_with_base_spans_of_many_secrets():
+    text = " ".join(f"token: {'ab12' * 4}{i} x{i:04d}{'zq9' * 8}" for i in range(300))
+    runs, base = list(secrets.RUN.finditer(text)), secrets.base_spans(text)
+    got = [(c[0], c[1]) for c in secrets.candidates(text, runs, base)]
+    plain = [(m.start(), m.end()) for m in runs if not any(s < m.end() and e > m.start() for s, _, e in base)]
+    assert got == plain and len(got) == 300
+
+
 def test_long_random_runs_of_either_base64():
     rng = random.Random(8)
 
