@@ -64,6 +64,23 @@ def test_checksums_and_context(spark):
     assert got[4]["spans"] == ""
 
 
+def test_context_reaches_over_neighbours(spark):
+    """The window is of the text, not of what stands since the last match."""
+    got = report(spark, [(1, "my ssn 123-45-6789, 123-45-6788"), (2, "SSN: 123-45-6789, 234-56-7890 345-67-8901"), (3, "ssn " + "x" * 40 + " 123-45-6789"), (4, "tel 1 2 3 4 5 6 7 8 +49 30 1234567")])
+    assert got[1]["spans"] == "ssn:7:18,ssn:20:31"
+    assert got[2]["spans"] == "ssn:5:16,ssn:18:29,ssn:30:41"
+    assert got[3]["spans"] == ""
+    assert got[4]["max_score"] == 0.7
+
+
+def test_texts_of_many_matches(spark):
+    text = " ".join(f"user{i}@host{i % 7}.org" for i in range(40_000))
+    got = report(spark, [(1, text), (2, text[::-1])])
+    for i, t in ((1, text), (2, text[::-1])):
+        assert got[i]["base_sha256"] == hashlib.sha256(brute(t).encode()).hexdigest()
+    assert got[1]["n_email"] == 40_000
+
+
 def test_odd_rows(spark):
     rows = pii.pii_report(odd_docs(spark)).collect()
     assert len(rows) == 9
