@@ -305,12 +305,12 @@ def band_starts() -> list[int]:
     return out
 
 
-def prefix_keys(n: int, before: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(n: int, before: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys (shingle, band of the shorter and of the longer text) of the prefixes of a text of n
-    shingles, and the side on which it stands in each: 0 shorter, 1 longer, 2 both in one band.  The
-    first before of them in the common order no other text has; rare are the next ones."""
+    shingles, the side on which it stands in each (0 shorter, 1 longer, 2 both in one band), and the
+    shingle's place in the common order.  The first before of them no other text has; rare are the next ones."""
     starts = band_starts()
-    own, keys, sides = bisect_right(starts, n) - 1, [], []
+    own, keys, sides, places = bisect_right(starts, n) - 1, [], [], []
     least = -(-4 * n // 5)
     for band in range(bisect_right(starts, least) - 1, bisect_right(starts, 5 * n // 4)):
         other = max(starts[band], least)
@@ -319,9 +319,10 @@ def prefix_keys(n: int, before: int, rare: np.ndarray) -> tuple[np.ndarray, np.n
             lo, hi = sorted((own, band))
             keys.append(mix(rare[:size] + np.uint64((lo * 4096 + hi + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
             sides.append(np.full(size, 2 if lo == hi else int(own == hi), np.int32))
+            places.append(np.arange(before, before + size, dtype=np.int32))
     if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
-    return np.concatenate(keys), np.concatenate(sides)
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+    return np.concatenate(keys), np.concatenate(sides), np.concatenate(places)
 
 
 def _frames(rows, columns: tuple[str, ...], most: int = 1 << 18):
@@ -362,7 +363,7 @@ def _prefix_rows(batches):
     for pdf in batches:
         each = zip(pdf["node"], pdf["n"], pdf["label"], pdf["known"], pdf["rare"], strict=True)
         rows = ((prefix_keys(n, n - known, np.asarray(rare, np.int64).view(np.uint64)), (i, n, label)) for i, n, label, known, rare in each)
-        yield from _frames(rows, ("h", "side", "node", "n", "label"))
+        yield from _frames(rows, ("h", "side", "place", "node", "n", "label"))
 
 
 def _rare_pairs(texts: DataFrame, dense: DataFrame) -> DataFrame:
@@ -373,12 +374,14 @@ def _rare_pairs(texts: DataFrame, dense: DataFrame) -> DataFrame:
     # One text's shingles are one row: as long as the text at most.
     ranked = rows.join(common, "s").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
     ranked = ranked.select("node", "n", "label", F.slice("x.s", F.lit(1), (F.col("n") / 5 + 2).cast("int")).alias("rare"), F.size("x").alias("known"))
-    keyed = staged(ranked.mapInPandas(_prefix_rows, "h long, side int, node long, n int, label long"), "prefixes")
+    keyed = staged(ranked.mapInPandas(_prefix_rows, "h long, side int, place int, node long, n int, label long"), "prefixes")
     mixed = keyed.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
     at = staged(keyed.join(_small(mixed), "h"), "open")
-    other = at.select("h", F.col("side").alias("hub_side"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+    other = at.select("h", *[F.col(own).alias(name) for own, name in (("side", "hub_side"), ("place", "hub_place"), ("node", "hub"), ("n", "hub_n"), ("label", "hub_label"))])
     sides = "((side = 0 and hub_side = 1) or (side = 2 and hub_side = 2 and hub < node))"
-    both = at.join(other, "h").where(f"{sides} and label <> hub_label and {FIT.format('n', 'hub_n')}")
+    # Bands only bound the prefixes; these are the two texts' own.
+    within = "9 * (n - place) >= 4 * (n + hub_n) and 9 * (hub_n - hub_place) >= 4 * (n + hub_n)"
+    both = at.join(other, "h").where(f"{sides} and label <> hub_label and {within} and {FIT.format('n', 'hub_n')}")
     return both.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub"))
 
 

@@ -107,17 +107,20 @@ def test_prefixes_of_similar_texts_meet():
         pool = rng.permutation(n + m - same).astype(np.uint64) + np.uint64(1)
         a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:same], pool[n:])))
         assert len(b) == m
-        assert meet(N.prefix_keys(n, 0, a), N.prefix_keys(m, 0, b))
+        assert meet(N.prefix_keys(n, 0, a), N.prefix_keys(m, 0, b), n, m)
         # Those that only one has stand first and are left out.
         alone = [np.concatenate((np.setdiff1d(x, y), np.intersect1d(x, y))) for x, y in ((a, b), (b, a))]
         own = [N.prefix_keys(len(x), len(x) - same, z[len(x) - same :]) for x, z in ((a, alone[0]), (b, alone[1]))]
-        assert meet(*own)
+        assert meet(*own, n, m)
 
 
-def meet(a, b):
-    """Whether a key is common to both, on the two sides of it."""
-    sides = dict(zip(a[0].tolist(), a[1].tolist()))
-    return any(k in sides and {sides[k], s} in ({0, 1}, {2}) for k, s in zip(b[0].tolist(), b[1].tolist()))
+def meet(a, b, n, m):
+    """Whether a key is common to both, on the two sides of it and within their own prefixes."""
+    first = {k: (s, at) for k, s, at in zip(*(x.tolist() for x in a))}
+    for k, s, at in zip(*(x.tolist() for x in b)):
+        if k in first and {first[k][0], s} in ({0, 1}, {2}) and 9 * (n - first[k][1]) >= 4 * (n + m) <= 9 * (m - at):
+            return True
+    return False
 
 
 def longest_common(a, b):
