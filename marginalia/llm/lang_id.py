@@ -4,9 +4,9 @@ The model holds, for each language, log probabilities of hashed character
 n-grams (1 to 4, with word borders) in a table of ``BUCKETS`` rows, learned
 from a sample of at most about ``SAMPLE`` labelled documents per language (drawn by a
 hash of the text's identifier; the bound is this parameter).  A word's score for a
-language is the sum over its n-grams.  The scripts of the words seen in
+language is the sum over its n-grams.  Words are runs of letters (Unicode categories L*).  The scripts of the words seen in
 training narrow the candidates: a word in a script that some languages use
-is only scored for those.  Viterbi over the word scores with a penalty ``SWITCH`` for each
+is only scored for those.  A word of several scripts has that of most of its letters.  Viterbi over the word scores with a penalty ``SWITCH`` for each
 change of language labels spans, from the start of their first word to the end of their last,
 in code points of the text as it is given; the language of the document is the one
 with most letters in its spans, and its score the share of the letters it holds, weighed
@@ -19,13 +19,15 @@ switches can win.  Both ways give the same labels.
 Defined results.  Null text, or text without letters: ``und`` with score 0 and no spans.  Letters
 of a script never seen are scored for all languages.  Ties go to the
 alphabetically first language.  Without any labelled document every
-text is ``und``.  Repeated rows are judged row by row.  An empty table gives an
+text is ``und``.  Texts of any length are read whole; they are taken in groups of bounded size, a longer text
+alone, so that memory follows the longest text.  Repeated rows are judged row by row.  An empty table gives an
 empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -45,7 +47,11 @@ SMOOTH = 0.5
 CACHE_WORDS = 400_000
 #: Words scored at once.
 CHUNK = 20_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters of a group of texts that are scored at once.
+GROUP = 1 << 19
+#: Numerals that are no letters though they count as word characters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 # Script ranges by first code point; a letter belongs to the last range that starts at or before it.
 SCRIPTS = (
@@ -59,13 +65,16 @@ SCRIPTS = (
 _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _LATIN = _NAMES.index("latin")
+_NUMBER = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 
 def script(word: str) -> int:
-    if word[0] <= "z":
+    """The script of most letters of a word; the alphabetically first of several."""
+    if word.isascii():
         return _LATIN
-    k = int(np.searchsorted(_STARTS, ord(word[0]), side="right")) - 1
-    return _NAMES.index(SCRIPTS[max(k, 0)][1])
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+    spots = np.maximum(np.searchsorted(_STARTS, codes, side="right") - 1, 0)
+    return int(np.bincount(_NUMBER[spots]).argmax())
 
 
 def plain(text: str) -> str:
@@ -268,6 +277,18 @@ def settled(scores: np.ndarray, first: np.ndarray, best: np.ndarray, penalty: fl
     return ok
 
 
+def grouped(texts: list[str | None]):
+    """(start, end) of groups of at most 256 texts and about GROUP characters."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and (i - lo == 256 or size + len(t or "") > GROUP):
+            yield lo, i
+            lo, size = i, 0
+        size += len(t or "")
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def _predict(model: Model):
     def run(batches):
         import pandas as pd
@@ -276,8 +297,8 @@ def _predict(model: Model):
         for pdf in batches:
             texts = pdf["text"].tolist()
             names, scores_out, spans = [], [], []
-            for lo in range(0, len(texts), 256):
-                listed = [words_of(t or "") for t in texts[lo : lo + 256]]
+            for lo, hi in grouped(texts):
+                listed = [words_of(t or "") for t in texts[lo:hi]]
                 words = [w for x in listed for w in x]
                 first = np.concatenate(([0], np.cumsum([len(x) for x in listed])))
                 scores = model.score(words)
