@@ -1,23 +1,23 @@
 """Quality score: random-indexing word vectors, pooled, into a two-layer network.
 
 Each token (a run without white space) has a sparse random index vector. The
-context vector of a frequent token sums the index vectors of its neighbours
-within ``REACH`` tokens over the training sample; tokens outside that vocabulary have none.
+context vector of a token sums the index vectors of its neighbours
+within ``REACH`` tokens over the training sample; tokens seen there fewer than ``LEAST_COUNT`` times have none.
 A second random-indexed vector stands for the token's shape (its character
-classes).  A document is the mean of its token vectors, with the
+classes, equal neighbours once, at whole length).  A document is the mean of its token vectors, with the
 concentration of its tokens: the norms of the means, the share of tokens
 equal to the one before, and of distinct tokens.  A network with one hidden layer
 of ``HIDDEN`` units, trained in numpy, scores it; a temperature fitted on a
 part of the sample kept back calibrates the probabilities.
 
 Fitted on a sample of labelled documents bounded by ``SAMPLE_DOCS`` documents and
-``SAMPLE_CHARS`` characters in the mean, drawn by a hash of doc_id; the bounds are
-these parameters.  Scoring reads every whole text.
+``SAMPLE_CHARS`` characters in the mean, of texts up to ``SAMPLE_TEXT`` characters each, drawn by a hash of doc_id; the bounds are
+these parameters.  Of several texts with one doc_id the least one is learned from.  Scoring reads every whole text.
 
 Defined results.  Null text counts as empty and gets the score of a
 document without tokens.  Labels with null doc_id or quality are
 ignored, of several for one doc_id the largest counts.  Without any label the
-score is 0.5.  Repeated rows are scored row by row; an empty table gives an
+score is 0.5.  A score at ``CUTOFF`` (a tie) is predicted 1.  Repeated rows are scored row by row; an empty table gives an
 empty result.  Other columns are not read.
 """
 
@@ -35,7 +35,8 @@ from marginalia.llm.common import id_crc
 
 SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 24_000_000
-VOCABULARY = 10_000
+SAMPLE_TEXT = 1_000_000
+LEAST_COUNT = 2
 REACH = 2
 WORD_DIM = 32
 SHAPE_DIM = 16
@@ -59,14 +60,14 @@ def shape(token: str) -> str:
     plain = token.translate(_CLASS)
     if not plain.isascii():
         plain = "".join(("A" if c.isupper() else "a") if c.isalpha() else c for c in plain)
-    return _RUN.sub(r"\1", plain)[:24]
+    return _RUN.sub(r"\1", plain)
 
 
 class Vectors:
     """Token vectors: context part, then shape part."""
 
-    def __init__(self, context: dict[str, np.ndarray]):
-        self.context = context
+    def __init__(self, context: tuple[dict[str, int], np.ndarray]):
+        self.words, self.context = context
         self.shapes: dict[str, np.ndarray] = {}
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, WORD_DIM + SHAPE_DIM), np.float32)
@@ -81,7 +82,8 @@ class Vectors:
             if s not in self.shapes:
                 self.shapes[s] = index_vector(s, SHAPE_DIM)
             self.rows[k, WORD_DIM:] = self.shapes[s]
-            self.rows[k, :WORD_DIM] = self.context.get(t, 0.0)
+            at = self.words.get(t)
+            self.rows[k, :WORD_DIM] = 0.0 if at is None else self.context[at]
             self.cache[t] = k
         return np.fromiter(map(self.cache.__getitem__, tokens), np.int64, len(tokens))
 
@@ -107,12 +109,12 @@ class Vectors:
         return out
 
 
-def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
-    """Context vectors, at unit length, of the most frequent tokens of texts."""
+def context_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Row numbers of the tokens of texts, and their context vectors at unit length."""
     counts = Counter(t for x in texts for t in x.split())
-    vocabulary = {t: k for k, (t, _) in enumerate(sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:VOCABULARY])}
+    vocabulary = {t: k for k, t in enumerate(sorted(t for t, n in counts.items() if n >= LEAST_COUNT))}
     if not vocabulary:
-        return {}
+        return {}, np.zeros((0, WORD_DIM), np.float32)
     # The index vectors as places and signs of their nonzero entries; the last row is that of other tokens.
     dense = np.stack([index_vector("w" + t, WORD_DIM) for t in vocabulary])
     places = np.argsort(-np.abs(dense), axis=1, kind="stable")[:, :NONZERO]
@@ -131,8 +133,7 @@ def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
                 out += np.bincount(spots.ravel(), weights=signs[other].ravel(), minlength=size)
     out = out.reshape(-1, WORD_DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    out = (out / np.maximum(norm, 1e-9)).astype(np.float32)
-    return {t: out[k] for t, k in vocabulary.items()}
+    return vocabulary, (out / np.maximum(norm, 1e-9)).astype(np.float32)[: len(vocabulary)]
 
 
 class Net:
@@ -177,7 +178,7 @@ class Net:
 
 
 class Model:
-    def __init__(self, context: dict[str, np.ndarray], net: Net | None):
+    def __init__(self, context: tuple[dict[str, int], np.ndarray] | None, net: Net | None):
         self.context, self.net, self.vectors = context, net, None
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -197,17 +198,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("y"))
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_TEXT)
     sizes = rows.select("id", F.length("text").alias("n")).join(truth, "id").agg(F.count("*"), F.sum("n")).first()
     if not sizes[0]:
-        return Model({}, None)
+        return Model(None, None)
     share = min(1.0, SAMPLE_DOCS / sizes[0], SAMPLE_CHARS / max(1, sizes[1] or 1))
 
     def drawn(df: DataFrame) -> DataFrame:
         return df.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 20)) < share * (1 << 20))
 
-    sample = drawn(rows).join(drawn(truth), "id").dropDuplicates(["id"]).toPandas().sort_values("id")
+    sample = drawn(rows).join(drawn(truth), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = sample.toPandas().sort_values("id")
     if sample["y"].nunique() < 2:
-        return Model({}, None)
+        return Model(None, None)
     texts = [t or "" for t in sample["text"]]
     context = context_vectors(texts)
     vectors = Vectors(context)
@@ -220,12 +223,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted; held_out has to be in docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            score = model.scores(pdf["text"].tolist())
+            score = sent.value.scores(pdf["text"].tolist())
             yield pd.DataFrame(
                 {"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": score, "predicted": (score >= CUTOFF).astype(np.int32)}
             )

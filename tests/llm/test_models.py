@@ -66,6 +66,72 @@ def test_viterbi_shortcut_is_exact():
                 assert (lang_id.viterbi(own) == best[k]).all()
 
 
+def plain_path(scores, penalty):
+    """The best labelling of each word by a plain dynamic programme over all pairs of languages."""
+    n, size = scores.shape
+    best, back = [list(scores[0])], []
+    for t in range(1, n):
+        row, own = [], []
+        for k in range(size):
+            came = max(range(size), key=lambda j: (best[-1][j] - (penalty if j != k else 0), j == k, -j))
+            own.append(came)
+            row.append(best[-1][came] - (penalty if came != k else 0) + scores[t][k])
+        best.append(row)
+        back.append(own)
+    path = [max(range(size), key=lambda k: (best[-1][k], -k))]
+    for own in reversed(back):
+        path.append(own[path[-1]])
+    return path[::-1]
+
+
+def test_prediction_equals_a_plain_programme(monkeypatch):
+    """Whole predictions, spans and scores against word by word work, in groups of any size."""
+    import pandas as pd
+
+    rng, langs = random.Random(31), ["de", "en", "fr"]
+    table = np.log(np.random.default_rng(3).gamma(0.4, 1.0, (lang_id.BUCKETS, 3)) + 1e-3)
+    allowed = np.ones((len(lang_id._NAMES), 3), bool)
+    texts = [" ".join("".join(rng.choice("abcdéß1") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 25))) for _ in range(80)] + [None, ""]
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "held_out": False})
+    for group in (lang_id.GROUP, 50):
+        monkeypatch.setattr(lang_id, "GROUP", group)
+        got = pd.concat(lang_id._predict(lang_id.Model(langs, table, allowed))([frame]))
+        model = lang_id.Model(langs, table, allowed)
+        for text, name, score, spans in zip(texts, got["lang_pred"], got["score"], got["spans"]):
+            words = [m for m in lang_id.WORD.finditer((text or "").lower())]
+            if not words:
+                assert (name, score, spans) == ("und", 0.0, [])
+                continue
+            own = np.concatenate([model.score([m[0]]) for m in words])
+            path = plain_path(own, lang_id.SWITCH)
+            held = [sum(len(m[0]) for m, k in zip(words, path) if k == j) for j in range(3)]
+            pick = max(range(3), key=lambda k: (held[k], -k))
+            want = []
+            for m, k in zip(words, path):
+                if want and want[-1]["lang"] == langs[k]:
+                    want[-1]["end"] = m.end()
+                else:
+                    want.append({"start": m.start(), "end": m.end(), "lang": langs[k]})
+            assert name == langs[pick] and spans == want
+            mean = own.sum(axis=0) / np.sqrt(len(own))
+            p = np.exp(mean - mean.max())
+            assert abs(score - held[pick] / sum(held) * p[pick] / p.sum()) < 1e-9
+
+
+def test_letters_and_scripts():
+    assert lang_id.words_of("½ ² ³ ① Ⅳ 10 _ !?") == []
+    assert lang_id.words_of("x² año Ⅳb") == ["x", "año", "b"]
+    name = lambda w: lang_id._NAMES[lang_id.script(w)]
+    assert [name(w) for w in ("word", "añoß", "слово", "aслово", "словоa", "eλληνικά")] == ["latin", "latin", "cyrillic", "cyrillic", "cyrillic", "greek"]
+
+
+def test_texts_without_letters_are_und(spark):
+    rng = random.Random(33)
+    rows = [(i, speech(rng, "en", 30), "en") for i in range(20)] + [(100, "½ ² 3", "en"), (101, "Ⅳ ①", "en"), (102, "¾", None)]
+    got = {r["doc_id"]: r for r in lang_id.language_report(docs_frame(spark, rows)).collect()}
+    assert all((got[i]["lang_pred"], got[i]["score"], got[i]["spans"]) == ("und", 0.0, []) for i in (100, 101, 102))
+
+
 def test_language_odd_rows(spark):
     assert lang_id.language_report(odd_docs(spark)).count() == 9
     assert lang_id.language_report(odd_docs(spark).where(F.lit(False))).count() == 0
@@ -91,6 +157,50 @@ def test_quality_accuracy(spark):
     assert sum(got[i]["predicted"] == q for i, q in held) >= 0.97 * len(held)
 
 
+def test_context_vectors_and_features_equal_brute_force():
+    rng = random.Random(41)
+    texts = [" ".join(f"t{rng.randrange(40)}" for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    words, rows = quality_model.context_vectors(texts)
+    count = {}
+    for x in texts:
+        for t in x.split():
+            count[t] = count.get(t, 0) + 1
+    assert set(words) == {t for t, n in count.items() if n >= quality_model.LEAST_COUNT}
+    index = {t: quality_model.index_vector("w" + t, quality_model.WORD_DIM) for t in words}
+    plain = {t: np.zeros(quality_model.WORD_DIM) for t in words}
+    for x in texts:
+        own = x.split()
+        for i, t in enumerate(own):
+            for j in range(max(0, i - quality_model.REACH), min(len(own), i + quality_model.REACH + 1)):
+                if j != i and t in words and own[j] in words:
+                    plain[t] += index[own[j]]
+    for t in words:
+        assert np.allclose(rows[words[t]], plain[t] / max(np.linalg.norm(plain[t]), 1e-9), atol=1e-5)
+    vectors = quality_model.Vectors((words, rows))
+    own = [*texts[0].split(), "UNSEEN", "UNSEEN", "t1"]
+    f = vectors.features(" ".join(own))
+    mean = np.mean([rows[words[t]] if t in words else np.zeros(quality_model.WORD_DIM) for t in own], axis=0)
+    shapes = np.mean([quality_model.index_vector(quality_model.shape(t), quality_model.SHAPE_DIM) for t in own], axis=0)
+    assert np.allclose(f[: len(mean)], mean, atol=1e-5) and np.allclose(f[len(mean) : -5], shapes, atol=1e-5)
+    assert np.isclose(f[-3], np.mean([a == b for a, b in zip(own, own[1:])])) and np.isclose(f[-2], len(set(own)) / len(own))
+
+
+def test_no_bound_on_vocabulary_or_shape():
+    texts = [" ".join(f"v{i}" for i in range(lo, lo + 500)) for lo in range(0, 15_000, 250)]
+    words, _ = quality_model.context_vectors(texts)
+    assert len(words) > 14_000
+    long = "".join(f"a{c}" for c in "0.,;:-+*/=!?0.,;:-+*/=!?")
+    assert quality_model.shape(long + "?") != quality_model.shape(long + "!") and len(quality_model.shape(long)) > 40
+
+
+def test_least_text_of_a_repeated_identifier_is_learned(spark):
+    rows = [(1, "good words here " * 20), (1, "BAD!! BAD!! " * 20), (2, "BAD!! BAD!! " * 20), (3, "good words here " * 20), (4, "BAD!! " * 30)]
+    labels = labels_frame(spark, [(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0)])
+    frames = [docs_frame(spark, r).repartition(n) for r, n in ((rows, 1), (rows[::-1], 3))]
+    got = [sorted((r["doc_id"], r["score"]) for r in quality_model.predict(f.selectExpr("doc_id", "text", "false as held_out"), quality_model.fit(f, labels)).collect()) for f in frames]
+    assert got[0] == got[1]
+
+
 def test_quality_odd_rows(spark):
     none = labels_frame(spark, [])
     rows = quality_model.quality_scores(odd_docs(spark), none).collect()
