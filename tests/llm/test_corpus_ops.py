@@ -235,11 +235,45 @@ def test_mined_rules(spark):
     assert all((got[i]["verdict"] == "block") == (q == 0) for i, q, _ in labels)
     rules = url_rules.mine(
         frame.withColumn("host", F.lit("x")).withColumn("tokens", url_rules.url_tokens(F.col("url"), *url_rules.host_and_path(F.col("url")))), labels_frame(spark, labels)
-    ).collect()
+    )[0].collect()
     assert [r["tokens"] for r in rules] == [["h:spam"]]
     assert url_rules.url_verdicts(frame.where(F.lit(False)), labels_frame(spark, labels)).count() == 0
 
 
+def test_mined_verdicts_equal_brute_force(spark):
+    """Every combination of tokens of every labelled page is counted."""
+    from itertools import combinations
+
+    rng = random.Random(19)
+    pages, labels = [], []
+    for i in range(260):
+        host, first, names = rng.choice("abcd"), rng.choice(["1", "a-very-long-first-segment-of-a-path", "x", ""]), [n for n in ("u", "v") if rng.random() < 0.4]
+        names += ["m1", "m2", "m3"] if rng.random() < 0.2 else []
+        url = f"http://{host}.net/{first}" + ("?" + "&".join(n + "=1" for n in names) if names else "") + "#z?w=1"
+        pages.append((i, url))
+        if i < 200:
+            labels.append((i, int(rng.random() > (0.9 if host == "a" and first == "1" else 0.95 if "m2" in names else 0.1)), 0))
+    pages.append((999, "http://b.net/x?m3=2"))
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    host, path = url_rules.host_and_path(F.col("url"))
+    tokens = {r["page_id"]: set(r["t"]) for r in frame.select("page_id", url_rules.url_tokens(F.col("url"), host, path).alias("t")).collect()}
+    assert not any("q:w" in t for t in tokens.values()) and any("p:a-very-long-first-segment-of-a-path" in t for t in tokens.values())
+    bad = {i for i, q, _ in labels if q == 0}
+    least = max(url_rules.LEAST_COUNT, -(-len(bad) * 2 // 100))
+    count: dict[tuple, list[int]] = {}
+    for i, _, _ in labels:
+        for size in range(1, len(tokens[i]) + 1):
+            for x in combinations(sorted(tokens[i]), size):
+                own = count.setdefault(x, [0, 0])
+                own[0] += 1
+                own[1] += i in bad
+    rules = [set(x) for x, (n, b) in count.items() if b >= least and b / n >= url_rules.MIN_CONFIDENCE and b / n / (len(bad) / len(labels)) >= url_rules.MIN_LIFT]
+    assert rules
+    got = {r["page_id"]: r["mined"] for r in url_rules.url_verdicts(frame, labels_frame(spark, labels)).collect()}
+    assert got == {i: any(x <= t for x in rules) for i, t in tokens.items()}
+    assert got[999]
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(11)
