@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent, as in tests on one machine, a temporary
-    folder of this machine serves, and it is recorded in the session.
+    Where the setting is absent and all executors are threads of this process, as in tests, a temporary folder of
+    this machine serves, and is recorded in the session.  On a cluster its absence is an error: files in
+    a folder of one machine would be lost to the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="marginalia-")
@@ -34,14 +38,33 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/marginalia-{label}-{uuid.uuid4().hex}"
 
 
+#: Tables written by staged and not dropped yet.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: a cut of lineage that
-    outlives lost executors and lets later passes prune columns."""
+    outlives lost executors and lets later passes prune columns.  It stays until drop_staged."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far() -> int:
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> None:
+    """Delete the staged tables, or those after the first since.  For use once every result that
+    was computed from them is written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    for path in _STAGED[since:]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _STAGED[since:]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and use it many times in body."""
     return F.transform(F.array(value), body)[0]

@@ -91,26 +91,35 @@ class Classifier:
         self.domains, self.constant, self.weights, self.temperature = domains, constant, weights, temperature
 
     def evidence(self, found: Column) -> Column:
-        """Per domain the sum of the weights of a text's tokens; a row of weights is one constant of
-        the plan, looked up by position."""
-        rows = [F.split(F.lit(",".join(f"{w:.2f}" if w else "0" for w in row)), ",").cast("array<double>") for row in self.weights]
-        spots = F.transform(found, lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int"))
+        """Per domain the sum of the weights of a text's tokens.  Buckets with a weight have a slot; the
+        slots of all buckets and the weights by slot are constants of the plan, looked up by position."""
+        told = np.flatnonzero(np.abs(self.weights).sum(axis=0))
+        slots = np.zeros(BUCKETS, int)
+        slots[told] = np.arange(1, len(told) + 1)
+        slot = _constant(map(str, slots.tolist()), "int")
+        rows = [_constant(["0", *(f"{w:.2f}" for w in row[told])], "double") for row in self.weights]
 
         def total(x: Column, row: Column) -> Column:
             return F.aggregate(x, F.lit(0.0), lambda acc, i: acc + F.get(row, i))
 
+        spots = F.filter(F.transform(found, lambda t: F.get(slot, F.pmod(t, F.lit(BUCKETS)).cast("int"))), lambda i: i > 0)
         return let(spots, lambda x: F.array(*[total(x, row) for row in rows]))
 
     def posterior(self, found: Column) -> Column:
         """Array of posteriors by domain from the array of a text's tokens."""
         if self.weights is None or len(self.domains) == 1:
             return F.array(*[F.lit(1.0 / len(self.domains)) for _ in self.domains])
-        return softmax(self.evidence(found), self.constant, self.temperature)
+        return softmax(self.evidence(found), self.constant, F.lit(float(self.temperature)))
 
 
-def softmax(sums: Column, constant: list[float], temperature: float) -> Column:
-    start = F.array(*[F.lit(float(c)) for c in constant])
-    logs = F.transform(sums, lambda x, k: (F.get(start, k) + x) / F.lit(float(temperature)))
+def _constant(values, kind: str) -> Column:
+    """An array of numbers that the optimizer folds to one constant."""
+    return F.split(F.lit(",".join(values)), ",").cast(f"array<{kind}>")
+
+
+def softmax(sums: Column, constant: list[float], temperature: Column) -> Column:
+    start = _constant(map(repr, map(float, constant)), "double")
+    logs = F.transform(sums, lambda x, k: (F.get(start, k) + x) / temperature)
 
     def normal(x: Column) -> Column:
         weights = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
@@ -161,9 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         return model
     own = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
     scored = sample.where("kept").select(own.alias("own"), model.evidence(F.col("tokens")).alias("sums"))
-    loss = scored.agg(*[F.sum(-F.log(F.get(softmax(F.col("sums"), constant, t), F.col("own")) + 1e-12)).alias(str(k)) for k, t in enumerate(GRID)]).first()
-    if loss["0"] is not None:
-        model.temperature = GRID[min(range(len(GRID)), key=lambda k: (loss[str(k)], k))]
+    grid = _constant(map(repr, GRID), "double")
+    losses = F.transform(grid, lambda t: -F.log(F.get(softmax(F.col("sums"), constant, t), F.col("own")) + 1e-12))
+    loss = {r["pos"]: r["loss"] for r in scored.select(F.posexplode(losses)).groupBy("pos").agg(F.sum("col").alias("loss")).collect()}
+    if loss:
+        model.temperature = GRID[min(loss, key=lambda k: (loss[k], k))]
     return model
 
 
@@ -174,11 +185,18 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def rate(steps: list[np.ndarray]) -> Column:
-    """The rate after the given steps: r = max(0, r - P.y) for each y."""
-    r = F.lit(1.0)
-    for y in steps:
-        r = F.greatest(F.lit(0.0), r - sum(F.get(F.col(f"{_P}_p"), F.lit(k)) * float(v) for k, v in enumerate(y)))
-    return r
+    """The rate after the given steps: r = max(0, r - P.y) for each y.  The steps are one constant, so
+    that the code of a plan is the same in every iteration."""
+    if not steps:
+        return F.lit(1.0)
+    size = len(steps[0])
+    p = [F.get(F.col(f"{_P}_p"), F.lit(k)) for k in range(size)]
+    flat = _constant((repr(float(v)) for y in steps for v in y), "double")
+
+    def step(r: Column, i: Column) -> Column:
+        return F.greatest(F.lit(0.0), r - sum(p[k] * F.get(flat, i * size + k) for k in range(size)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), step)
 
 
 def solve(rows: DataFrame, domains: list[str], targets: dict[str, float] | None = None) -> tuple[list[np.ndarray], float]:
