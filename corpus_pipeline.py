@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the docs of the next.  All but the last
 return the columns of documents.
+
+What a stage does with nulls, empty and very long texts, ties, repeated rows, empty tables and
+columns with clashing names is that of its operator, stated there: quality rules drop null and empty texts (they
+have fewer words than the base rule asks); the near-dedup stage keeps of each class the
+row with the least doc_id, a null one last, and every row without words; decontamination and mixing pass
+null texts and identifiers on; token output sorts null identifiers first.  An empty table stays empty in all of them.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import decontam, mixing, near_dup, quality_rules, sstable
-from marginalia.llm.common import fresh_path, table
+from marginalia.llm.common import drop_staged, fresh_path, staged_so_far, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = fresh_path(spark, "stage")
+        path, before = fresh_path(spark, "stage"), staged_so_far()
         stage(spark, docs, sf_dir).write.parquet(path)
+        # What the stage put aside is of no use once its result is written.
+        drop_staged(spark, before)
         docs = spark.read.parquet(path)
     return docs
