@@ -5,15 +5,13 @@ Every query runs over its whole tables.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import edit, entries, export, layout, link, qa, resolve, review
 from marginalia.sources import corpus
-from marginalia.sources.corpus import LINES_SQL, REFS_SQL, WORKS_SQL, references, table
+from marginalia.sources.corpus import ENTRIES_SQL, LINES_SQL, REFS_SQL, WORKS_SQL, references, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -266,8 +264,9 @@ def merged_hits(spark, sf_dir):
 
 
 @query(f"""WITH {REFS_SQL}, {WORKS_SQL}, ck AS (SELECT DISTINCT paper_id, unnest([lower('10.5555/' || doi), regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g')]) AS k FROM refs WHERE pos % 2 = 0),
-  wk AS (SELECT paper_id, pos, unnest([lower(doi), regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g')]) AS k FROM works)
-  SELECT paper_id, pos FROM works ANTI JOIN (SELECT DISTINCT paper_id, pos FROM wk SEMI JOIN ck USING (paper_id, k)) USING (paper_id, pos)""")
+  wk AS (SELECT paper_id, pos, unnest([lower(doi), regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g')]) AS k FROM works),
+  hit AS (SELECT DISTINCT wk.paper_id, wk.pos FROM wk JOIN ck ON wk.paper_id = ck.paper_id AND wk.k = ck.k)
+  SELECT w.paper_id, w.pos FROM works w LEFT JOIN hit h ON w.paper_id = h.paper_id AND w.pos = h.pos WHERE h.pos IS NULL""".replace("refs AS (", "refs AS MATERIALIZED (", 1))
 def uncited_hits(spark, sf_dir):
     refs = references(spark, sf_dir)
     cited = refs.where("pos % 2 = 0").withColumn("doi", F.concat(F.lit("10.5555/"), "doi"))
@@ -291,6 +290,48 @@ def identifier_cascade(spark, sf_dir):
     return resolve.lookup_identifiers(ask, _catalog(refs)).select("paper_id", "pos", "tier", "work_id")
 
 
+@query(_MATCH_SQL + """, b AS (SELECT paper_id, pos, cp, st, row_number() OVER (PARTITION BY paper_id, pos ORDER BY st = 'verified' DESC, score DESC, cp) AS r FROM t WHERE st <> 'rejected' AND pos % 2 = 1)
+  SELECT paper_id, pos, CASE CAST(split_part(doi, '/', 1) AS INTEGER) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS tier, 'W' || doi AS work_id, 'verified' AS match_status FROM refs WHERE pos % 2 = 0
+  UNION ALL SELECT refs.paper_id, refs.pos, CASE WHEN b.cp IS NULL THEN NULL ELSE 4 END, CAST(b.cp AS VARCHAR), b.st FROM refs LEFT JOIN b ON b.paper_id = refs.paper_id AND b.pos = refs.pos AND b.r = 1 AND length(refs.title) > 15 WHERE refs.pos % 2 = 1""")
+def resolved_references(spark, sf_dir):
+    """Identifiers first (every second reference has some), then the best corroborated title."""
+    refs = references(spark, sf_dir)
+    known = F.col("pos") % 2 == 0
+    ask = refs.select(
+        "paper_id", "pos", "title", F.when(known, F.concat(F.lit("10.5555/"), "doi")).otherwise("").alias("doi"), F.when(known, F.concat(F.lit("arXiv:9701."), "doi")).otherwise("").alias("number")
+    )
+    pairs = _pairs(refs).withColumn("work_id", F.col("cand_pos").cast("string"))
+    return resolve.resolve_references(ask, _catalog(refs), pairs, ["paper_id", "pos"]).select("paper_id", "pos", "tier", "work_id", "match_status")
+
+
+@query(f"""WITH {REFS_SQL}, {WORKS_SQL}, h AS (SELECT paper_id, pos, source, title, doi, row_number() OVER (PARTITION BY paper_id, source ORDER BY pos) AS n FROM works),
+  k AS (SELECT *, CASE WHEN source = 'semanticscholar' THEN 0 ELSE 1 END AS rs, coalesce(doi, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS key FROM h WHERE n <= CASE WHEN source = 'semanticscholar' THEN 1 ELSE 5 END AND title <> ''),
+  d AS (SELECT *, row_number() OVER (PARTITION BY paper_id, key ORDER BY rs, n) AS r FROM k)
+  SELECT paper_id, pos, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY rs, n) AS INTEGER) AS rank FROM d WHERE r = 1""")
+def title_hits(spark, sf_dir):
+    """The first hit of one provider and the first five of the other, once for each key."""
+    return resolve.title_hits(corpus.works(references(spark, sf_dir)), ["paper_id"]).select("paper_id", "pos", "rank")
+
+
+_SEARCH_SQL = f"""WITH RECURSIVE {REFS_SQL}, s AS (SELECT paper_id, pos, 'T' || (pos * 5 % 7) AS title, CASE WHEN pos % 3 = 0 THEN '10.1/' || (pos % 4) ELSE '' END AS doi, CASE WHEN pos % 8 = 7 THEN '' ELSE 'a' END AS abstract FROM refs),
+  q AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS k, list_filter([lower(doi), lower(title)], lambda x: x <> '') AS keys FROM s WHERE NOT (pos % 7 = 0)),
+  g AS (SELECT paper_id, 0::BIGINT AS k, []::VARCHAR[] AS seen, []::INTEGER[] AS kept FROM (SELECT DISTINCT paper_id FROM q) UNION ALL
+    SELECT g.paper_id, q.k, CASE WHEN list_has_any(g.seen, q.keys) OR q.abstract = '' THEN g.seen ELSE list_concat(g.seen, q.keys) END, CASE WHEN list_has_any(g.seen, q.keys) OR q.abstract = '' THEN g.kept ELSE list_append(g.kept, q.pos) END
+    FROM g JOIN q ON q.paper_id = g.paper_id AND q.k = g.k + 1)"""
+
+
+@query(_SEARCH_SQL + " SELECT paper_id, unnest(max_by(kept, k)) AS pos FROM g GROUP BY paper_id")
+def new_hits(spark, sf_dir):
+    """Search results in order, each kept if it shares no key with a cited work or one kept before."""
+    refs = references(spark, sf_dir)
+    p = F.col("pos")
+    hits = refs.select(
+        "paper_id", "pos", F.concat(F.lit("T"), p * 5 % 7).alias("title"), F.when(p % 3 == 0, F.concat(F.lit("10.1/"), p % 4)).otherwise("").alias("doi"), F.when(p % 8 == 7, "").otherwise("a").alias("abstract"),
+    )
+    cited = hits.where("pos % 7 = 0").select("paper_id", F.lit("").alias("doi"), F.lit("T0").alias("title")).distinct()
+    return resolve.new_results(hits, cited, "paper_id", "pos").select("paper_id", "pos")
+
+
 _STATE_SQL = f"""WITH {REFS_SQL}, st AS (SELECT paper_id, pos, CASE WHEN pos % 11 = 0 THEN 'failed' ELSE 'parsed' END AS parse_status, CASE pos % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' ELSE 'low-confidence' END AS resolution_status,
     CASE pos % 4 WHEN 0 THEN 'https://x.org/search?q=1' WHEN 1 THEN 'https://arxiv.org/abs/1' ELSE NULL END AS url, CASE WHEN pos % 5 = 0 THEN 'https://p.org/search?q=2' WHEN pos % 5 = 1 THEN 'https://p.org/1' END AS provenance_url FROM refs),
   f AS (SELECT paper_id, pos, CASE WHEN pos % 4 < 2 THEN 'verified' ELSE 'low-confidence' END AS match_status, CASE WHEN pos % 6 = 0 THEN 'https://s.org/search' ELSE 'https://s.org/' || pos END AS url FROM refs WHERE pos % 2 = 0)"""
@@ -313,7 +354,7 @@ def _states(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(_STATE_SQL + f""" SELECT st.paper_id, st.pos, CASE WHEN st.resolution_status = 'verified' THEN 'verified' WHEN f.url IS NOT NULL AND NOT contains(f.url, '/search') THEN f.match_status ELSE st.resolution_status END AS resolution_status,
   CASE WHEN st.resolution_status = 'verified' THEN '' WHEN f.url IS NOT NULL AND NOT contains(f.url, '/search') THEN CASE WHEN f.match_status = 'low-confidence' THEN '{resolve.LOW}' ELSE '' END
-    WHEN parse_status <> 'failed' AND st.resolution_status = 'unverified' THEN '{resolve.NO_MATCH}' ELSE '' END AS resolution_note FROM st LEFT JOIN f USING (paper_id, pos)""")
+    WHEN parse_status <> 'failed' AND st.resolution_status = 'unverified' THEN '{resolve.NO_MATCH}' ELSE '' END AS resolution_note FROM st LEFT JOIN f ON st.paper_id = f.paper_id AND st.pos = f.pos""".replace("refs AS (", "refs AS MATERIALIZED (", 1))
 def retried_references(spark, sf_dir):
     state, found = _states(references(spark, sf_dir))
     return resolve.retry_unverified(state, found, ["paper_id", "pos"]).select("paper_id", "pos", "resolution_status", "resolution_note")
@@ -389,12 +430,12 @@ def _paper_lines(refs: DataFrame) -> DataFrame:
     )
 
 
-@query(f"""WITH {REFS_SQL}, p AS (SELECT DISTINCT paper_id FROM refs) SELECT paper_id, * EXCLUDE (paper_id) FROM p, (VALUES ('abstract', 'Abstract', 1, 'We study parts that are supplied by many.'),
-  ('sec1', '1 Introduction', 1, 'Parts matter to all.'), ('sec2', '1.1 Setting', 2, 'We fix a setting.')) t(section_id, title, level, text)""")
+@query(f"""WITH {REFS_SQL}, {ENTRIES_SQL}, p AS (SELECT DISTINCT paper_id FROM refs) SELECT paper_id, * EXCLUDE (paper_id) FROM p, (VALUES ('abstract', 'Abstract', 1, 'We study parts that are supplied by many.'),
+  ('sec1', '1 Introduction', 1, 'Parts matter to all.'), ('sec2', '1.1 Setting', 2, 'We fix a setting.')) t(section_id, title, level, text)
+  UNION ALL SELECT paper_id, 'sec3', 'References', 1, string_agg('[' || pos || '] ' || body, ' ' ORDER BY pos) || ' Appendix A' FROM ents GROUP BY paper_id""")
 def sections(spark, sf_dir):
     lines = _paper_lines(references(spark, sf_dir))
-    out = layout.sections(lines, layout.body_size(lines))
-    return out.where("section_id in ('abstract', 'sec1', 'sec2')").select("paper_id", "section_id", "title", "level", "text")
+    return layout.sections(lines, layout.body_size(lines)).select("paper_id", "section_id", "title", "level", "text")
 
 
 @query(f"""WITH {REFS_SQL} SELECT paper_id, CAST(pos + 8 AS INTEGER) AS line_no FROM refs""")
@@ -424,11 +465,15 @@ def longest_run(spark, sf_dir):
     return layout.longest_citation_run(references(spark, sf_dir).select("paper_id", F.col("pos").alias("line_no"), text.alias("text")))
 
 
-@query(f"""WITH {REFS_SQL} SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS INTEGER) AS num FROM refs""")
+@query(f"""WITH {REFS_SQL}, {ENTRIES_SQL} SELECT paper_id, CAST(pos AS INTEGER) AS num, '[' || pos || '] ' || body AS entry FROM ents""")
 def split_entries(spark, sf_dir):
-    lines = corpus.entries(references(spark, sf_dir)).select("paper_id", F.col("pos").alias("line_no"), "raw")
-    blob = lines.groupBy("paper_id").agg(T.join_hyphenated(F.array_sort(F.collect_list(F.struct("line_no", "raw")))["raw"]).alias("blob"))
-    return layout.split_block(blob).select("paper_id", "num")
+    """Entries whose lines break inside words, joined and split again at their markers."""
+    raw = corpus.entries(references(spark, sf_dir))
+    # A break behind the second letter of the title, with a hyphen.
+    halves = F.array(F.concat(F.expr("substring(raw, 1, instr(raw, true_title) + 1)"), F.lit("-")), F.expr("substring(raw, instr(raw, true_title) + 2)"))
+    lines = raw.select("paper_id", F.col("pos").alias("line_no"), F.posexplode(halves).alias("half", "text"))
+    blob = lines.groupBy("paper_id").agg(T.join_hyphenated(F.array_sort(F.collect_list(F.struct("line_no", "half", "text")))["text"]).alias("blob"))
+    return layout.split_block(blob).select("paper_id", "num", "entry")
 
 
 # --- editing, questions, export ---------------------------------------------------------
@@ -465,14 +510,14 @@ def unknown_citations(spark, sf_dir):
 
 
 @query(_DIFF_SQL + """ SELECT paper_id, section_id, CASE section_id % 4 WHEN 1 THEN 'drops citations' WHEN 3 THEN 'drops citations' WHEN 2 THEN 'unknown citation' END AS reason,
-    CASE WHEN section_id % 4 = 0 THEN 'Kept' ELSE 'Known' END AS first_word FROM s""")
+    CASE WHEN section_id % 4 = 0 THEN 'Kept [[cite:ref' || hi || ',ref' || lo || ']] and [[cite:ref' || lo || ']].' ELSE 'Known [[cite:ref' || lo || ',ref' || hi || ']] fact. Again [[cite:ref' || lo || ']].' END AS text FROM s""")
 def applied_diffs(spark, sf_dir):
     refs = references(spark, sf_dir)
     diffs = _diffs(refs)
     sections_ = diffs.select("paper_id", "section_id", F.col("old_text").alias("text"))
     none = _ids(refs).select("paper_id", "ref_id", F.lit("openalex").alias("source")).limit(0)
     after, refused = edit.apply_diffs(sections_, diffs.select("paper_id", "section_id", "new_text"), _ids(refs), none)
-    return after.join(refused, ["paper_id", "section_id"], "left").select("paper_id", "section_id", "reason", F.split("text", " ")[0].alias("first_word"))
+    return after.join(refused, ["paper_id", "section_id"], "left").select("paper_id", "section_id", "reason", "text")
 
 
 @query(_DIFF_SQL + """ SELECT paper_id, section_id, CASE WHEN section_id % 5 = 0 THEN 'text has changed' WHEN section_id % 4 = 2 AND false THEN '' END AS reason FROM s WHERE section_id % 4 IN (0, 2) AND section_id % 5 = 0""")
@@ -517,46 +562,30 @@ def latex_text(spark, sf_dir):
     return s.select("paper_id", "section_id", T.text_to_latex(text).alias("latex"))
 
 
-@query(f"""WITH {REFS_SQL}, e AS (SELECT paper_id, pos, upper(substr(title, 1, 1)) || substr(title, 2) AS t, yr, upper(substr(fam, 1, 1)) || substr(replace(fam, ' ', ''), 2) AS f, doi FROM refs WHERE pos % 4 = 2)
-  SELECT paper_id, pos, '@inproceedings{{ref' || pos || ',' || chr(10) || '  title = {{' || t || '}},' || chr(10) || '  author = {{' || f || ', Ann}},' || chr(10) || '  year = {{' || yr || '}},' || chr(10) || '  booktitle = {{Parts Workshop}},' || chr(10) ||
-    '  doi = {{10.5555/' || doi || '}},' || chr(10) || '  url = {{https://doi.org/10.5555/' || doi || '}},' || chr(10) || '}}' AS bibtex FROM e""")
-def bibtex_entries(spark, sf_dir):
-    parsed = entries.parse_entries(corpus.entries(references(spark, sf_dir)).where("pos % 4 = 2").select("paper_id", "pos", "raw"))
-    return export.bibtex(_ids(parsed))
-
-
-@query(f"""WITH {REFS_SQL}, e AS (SELECT paper_id, pos, upper(substr(title, 1, 1)) || substr(title, 2) AS t, yr, upper(substr(fam, 1, 1)) || substr(replace(fam, ' ', ''), 2) AS f FROM refs WHERE pos % 4 = 1)
-  SELECT paper_id, pos, '[' || pos || ']' AS ieee, '(' || f || ', ' || yr || ')' AS apa, 'A. ' || f || ', “' || t || ',” in Parts Conference, ' || yr || '.' AS ieee_entry, f || ', A. (' || yr || '). ' || t || '. Parts Conference.' AS apa_entry FROM e""")
-def bibliography(spark, sf_dir):
-    parsed = _ids(entries.parse_entries(corpus.entries(references(spark, sf_dir)).where("pos % 4 = 1").select("paper_id", "pos", "raw")))
-    ieee, apa = F.lit("ieee"), F.lit("apa")
-    return parsed.select("paper_id", "pos", export.inline_label(ieee).alias("ieee"), export.inline_label(apa).alias("apa"), export.entry_text(ieee).alias("ieee_entry"), export.entry_text(apa).alias("apa_entry"))
-
-
 def _all_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(entries.parse_entries(corpus.entries(references(spark, sf_dir)).select("paper_id", "pos", "raw")))
 
 
-@query()
-def bibtex_all(spark, sf_dir):
-    """Every reference, of all entry formats (bibtex_entries and its SQL take one of four)."""
+@query(f"""WITH {REFS_SQL}, {ENTRIES_SQL}, x AS (SELECT *, '9701.0' || lpad(CAST(pos AS VARCHAR), 4, '0') AS ax FROM ents)
+  SELECT paper_id, pos, CASE pos % 4 WHEN 0 THEN '@article' WHEN 3 THEN '@misc' ELSE '@inproceedings' END || '{{ref' || pos || ',' || chr(10) || '  title = {{' || t || '}},' || chr(10) || '  author = {{' || f ||
+    CASE pos % 4 WHEN 0 THEN '' WHEN 1 THEN ', A' ELSE ', Ann' END || '}},' || chr(10) || '  year = {{' || yr || '}},' || chr(10) || CASE pos % 4 WHEN 0 THEN '  journal = {{Journal of Parts}},' WHEN 1 THEN '  booktitle = {{Parts Conference}},'
+    WHEN 2 THEN '  booktitle = {{Parts Workshop}},' || chr(10) || '  doi = {{10.5555/' || doi || '}},' || chr(10) || '  url = {{https://doi.org/10.5555/' || doi || '}},'
+    ELSE '  url = {{https://arxiv.org/abs/' || ax || '}},' || chr(10) || '  eprint = {{' || ax || '}},' || chr(10) || '  eprinttype = {{arxiv}},' END || chr(10) || '}}' AS bibtex FROM x""")
+def bibtex_entries(spark, sf_dir):
+    """Every reference, of all entry formats."""
     return export.bibtex(_all_parsed(spark, sf_dir))
 
 
-@query()
-def bibliography_all(spark, sf_dir):
-    """Every reference, of all entry formats (bibliography and its SQL take one of four)."""
+@query(f"""WITH {REFS_SQL}, {ENTRIES_SQL}, x AS (SELECT *, CASE pos % 4 WHEN 2 THEN ' https://doi.org/10.5555/' || doi WHEN 3 THEN ' https://arxiv.org/abs/9701.0' || lpad(CAST(pos AS VARCHAR), 4, '0') ELSE '' END AS link FROM ents)
+  SELECT paper_id, pos, '[' || pos || ']' AS ieee, '(' || f || ', ' || yr || ')' AS apa,
+    CASE WHEN pos % 4 = 0 THEN '' ELSE 'A. ' END || f || ', “' || t || ',” ' || CASE pos % 4 WHEN 0 THEN 'Journal of Parts, vol. 12, no. 3, pp. 45-67, ' WHEN 1 THEN 'in Parts Conference, ' WHEN 2 THEN 'in Parts Workshop, ' ELSE '' END || yr || '.' || link AS ieee_entry,
+    f || CASE WHEN pos % 4 = 0 THEN '' ELSE ', A.' END || ' (' || yr || '). ' || t || '.' || CASE pos % 4 WHEN 0 THEN ' Journal of Parts, 12(3), 45-67.' WHEN 1 THEN ' Parts Conference.' WHEN 2 THEN ' Parts Workshop.' ELSE '' END || link AS apa_entry FROM x""")
+def bibliography(spark, sf_dir):
+    """Every reference, of all entry formats."""
     ieee, apa = F.lit("ieee"), F.lit("apa")
     return _all_parsed(spark, sf_dir).select("paper_id", "pos", export.inline_label(ieee).alias("ieee"), export.inline_label(apa).alias("apa"), export.entry_text(ieee).alias("ieee_entry"), export.entry_text(apa).alias("apa_entry"))
 
 
-@query()
-def sections_all(spark, sf_dir):
-    """Every section that the layout has (sections and its SQL take three)."""
-    lines = _paper_lines(references(spark, sf_dir))
-    return layout.sections(lines, layout.body_size(lines)).select("paper_id", "section_id", "title", "level", "text")
-
-
 def _given_answers(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(
         F.col("doc_id").alias("paper_id"), F.col("doc_id").alias("answer_id"), F.lit("What of reference 2?").alias("question"), F.lit("See ref 3.").alias("answer"), F.lit(True).alias("answered"),
@@ -592,4 +621,3 @@ def paper_report(spark, sf_dir):
 
 
 FLAGSHIP = "paper_report"
-del partial

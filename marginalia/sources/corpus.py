@@ -78,8 +78,8 @@ WORKS_SQL = """works AS (
 
 def entries(refs: DataFrame) -> DataFrame:
     """Raw bibliography entries in four formats by turns of position."""
-    title = F.concat(F.upper(F.substring("title", 1, 1)), F.substring("title", 2, 500))
-    name = F.concat(F.upper(F.substring("fam", 1, 1)), F.substring(F.regexp_replace("fam", " ", ""), 2, 100))
+    title = F.concat(F.upper(F.substring("title", 1, 1)), F.expr("substring(title, 2)"))
+    name = F.concat(F.upper(F.substring("fam", 1, 1)), F.expr("substring(replace(fam, ' ', ''), 2)"))
     k, yr = F.col("pos") % 4, F.col("yr").cast("string")
     raw = (
         F.when(k == 0, F.concat(name, F.lit(", A. ("), yr, F.lit("). "), title, F.lit(". Journal of Parts, 12(3):45-67.")))
@@ -90,6 +90,14 @@ def entries(refs: DataFrame) -> DataFrame:
     return refs.select("paper_id", "section_id", "pos", F.concat(F.lit("["), "pos", F.lit("] "), raw).alias("raw"), title.alias("true_title"), name.alias("true_family"), "yr", "doi", "fam")
 
 
+#: The same entries in SQL, after refs: title (t), family (f) and raw text of each reference.
+ENTRIES_SQL = """ents AS (SELECT *, CASE pos % 4 WHEN 0 THEN f || ', A. (' || yr || '). ' || t || '. Journal of Parts, 12(3):45-67.'
+    WHEN 1 THEN 'A. ' || f || ', "' || t || '," In Proceedings of the Parts Conference, ' || yr || '.'
+    WHEN 2 THEN 'Ann ' || f || '. ' || yr || '. ' || t || '. In Parts Workshop, pages 1-9. doi:10.5555/' || doi || '.'
+    ELSE 'Ann ' || f || '. ' || t || '. CoRR abs/9701.0' || lpad(CAST(pos AS VARCHAR), 4, '0') || ', ' || yr || '.' END AS body
+  FROM (SELECT *, upper(substr(title, 1, 1)) || substr(title, 2) AS t, upper(substr(fam, 1, 1)) || substr(replace(fam, ' ', ''), 2) AS f FROM refs))"""
+
+
 def numbered_sections(refs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """A text per section that cites its references: a list marker, a range and an orphan."""
     own = refs.groupBy("paper_id", "section_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))

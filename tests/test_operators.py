@@ -217,16 +217,16 @@ def test_whole_table_exports(spark, tmp_path):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     title = [f"Hot gear standard Brand#1 Supplier#{i}" for i in range(1, 5)]
-    bib = {r["pos"]: r["bibtex"] for r in Q.QUERIES["bibtex_all"](spark, str(tmp_path)).collect()}
+    bib = {r["pos"]: r["bibtex"] for r in Q.QUERIES["bibtex_entries"](spark, str(tmp_path)).collect()}
     assert bib == {
         1: f"@inproceedings{{ref1,\n  title = {{{title[0]}}},\n  author = {{Peru, A}},\n  year = {{1991}},\n  booktitle = {{Parts Conference}},\n}}",
         2: f"@inproceedings{{ref2,\n  title = {{{title[1]}}},\n  author = {{China, Ann}},\n  year = {{1992}},\n  booktitle = {{Parts Workshop}},\n  doi = {{10.5555/7/2}},\n  url = {{https://doi.org/10.5555/7/2}},\n}}",
         3: f"@misc{{ref3,\n  title = {{{title[2]}}},\n  author = {{Kenya, Ann}},\n  year = {{1993}},\n  url = {{https://arxiv.org/abs/9701.00003}},\n  eprint = {{9701.00003}},\n  eprinttype = {{arxiv}},\n}}",
         4: f"@article{{ref4,\n  title = {{{title[3]}}},\n  author = {{France}},\n  year = {{1994}},\n  journal = {{Journal of Parts}},\n}}",
     }
-    listed = {r["pos"]: (r["ieee"], r["apa"], r["ieee_entry"], r["apa_entry"]) for r in Q.QUERIES["bibliography_all"](spark, str(tmp_path)).collect()}
+    listed = {r["pos"]: (r["ieee"], r["apa"], r["ieee_entry"], r["apa_entry"]) for r in Q.QUERIES["bibliography"](spark, str(tmp_path)).collect()}
     assert sorted(listed) == [1, 2, 3, 4]
     assert listed[3] == ("[3]", "(Kenya, 1993)", f"A. Kenya, “{title[2]},” 1993. https://arxiv.org/abs/9701.00003", f"Kenya, A. (1993). {title[2]}. https://arxiv.org/abs/9701.00003")
     assert listed[4] == ("[4]", "(France, 1994)", f"France, “{title[3]},” Journal of Parts, vol. 12, no. 3, pp. 45-67, 1994.", f"France (1994). {title[3]}. Journal of Parts, 12(3), 45-67.")
-    ids = [r["section_id"] for r in Q.QUERIES["sections_all"](spark, str(tmp_path)).collect()]
+    ids = [r["section_id"] for r in Q.QUERIES["sections"](spark, str(tmp_path)).collect()]
     assert set(ids) > {"abstract", "sec1", "sec2"}
