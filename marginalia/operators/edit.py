@@ -41,7 +41,7 @@ def invented_tokens(diffs: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens in the new text that the old one does not have."""
     new = diffs.select(*keys, F.explode(T.extract_tokens(F.col("new_text"))).alias("ref_id"))
     old = diffs.select(*keys, F.explode(T.extract_tokens(F.col("old_text"))).alias("ref_id"))
-    return new.exceptAll(new.join(old, [*keys, "ref_id"], "left_semi")).distinct()
+    return new.join(old, [*keys, "ref_id"], "left_anti").distinct()
 
 
 def valid_operations(plans: DataFrame, sections: DataFrame) -> DataFrame:
@@ -134,6 +134,30 @@ def decide(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select("proposal_id", "decision", F.coalesce("next", "status").alias("status"), F.col("next").isNull().alias("conflict"))
 
 
+def folded_operations(operations: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one diff per section, the text that each operation starts from).
+
+    operations: paper_id, section_id, op_no, new_text (null where it failed), notes (array).  A later operation starts from
+    what the last successful one made; the diff goes from the original text to the last result and has all their notes.
+    """
+    key = ["paper_id", "section_id"]
+    rows = operations.join(sections.select(*key, "text"), key)
+    before = Window.partitionBy(*key).orderBy("op_no").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.select(*key, "op_no", F.coalesce(F.last("new_text", ignorenulls=True).over(before), "text").alias("base_text"))
+    done = rows.where("new_text is not null").groupBy(*key).agg(
+        F.first("text").alias("old_text"), F.max_by("new_text", "op_no").alias("new_text"), F.flatten(F.array_sort(F.collect_list(F.struct("op_no", "notes")))["notes"]).alias("notes"),
+        F.min("op_no").alias("at"),
+    )
+    return done, base
+
+
+def edit_summary(diffs: DataFrame, added: DataFrame) -> DataFrame:
+    """paper_id, summary, failed: how many sections a proposal changes and what it adds."""
+    d, a = diffs.groupBy("paper_id").agg(F.count("*").alias("d")), added.groupBy("paper_id").agg(F.count("*").alias("a"))
+    rows = d.join(a, "paper_id", "full").na.fill(0, ["d", "a"])
+    return rows.select("paper_id", F.concat("d", F.lit(" section(s) changed, "), "a", F.lit(" new reference(s).")).alias("summary"), (F.col("d") == 0).alias("failed"))
+
+
 def undo_candidates(proposals: DataFrame) -> DataFrame:
     """The last applied proposal of each paper, which the page offers to undo."""
     return proposals.where("status = 'applied'").groupBy("paper_id").agg(F.max_by("proposal_id", "seq").alias("proposal_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import edit, entries, export, layout, link, qa, resolve, review
+from marginalia.operators import edit, entries, export, layout, link, papers, qa, resolve, review
 from marginalia.sources import corpus
 from marginalia.sources.corpus import ENTRIES_SQL, LINES_SQL, REFS_SQL, WORKS_SQL, references, table
 
@@ -604,6 +604,125 @@ def checked_answers(spark, sf_dir):
     return qa.answers(index, _given_answers(docs), _ids(refs))
 
 
+# --- papers as a whole ------------------------------------------------------------------
+
+
+@query(_STATE_SQL + """, i AS (SELECT *, 'ref' || pos AS ref_id, row_number() OVER (PARTITION BY paper_id, parse_status ORDER BY pos) AS fk, row_number() OVER (PARTITION BY paper_id, resolution_status = 'unverified' AND parse_status <> 'failed' ORDER BY pos) AS uk FROM st),
+  g AS (SELECT paper_id, count(*) AS n, count(*) FILTER (parse_status = 'failed') AS f, string_agg(ref_id, ', ' ORDER BY pos) FILTER (parse_status = 'failed' AND fk <= 10) AS fi, count(*) FILTER (resolution_status = 'verified') AS v,
+    count(*) FILTER (resolution_status = 'low-confidence') AS l, count(*) FILTER (resolution_status = 'unverified' AND parse_status <> 'failed') AS u, string_agg(ref_id, ', ' ORDER BY pos) FILTER (resolution_status = 'unverified' AND parse_status <> 'failed' AND uk <= 10) AS ui FROM i GROUP BY paper_id)
+  SELECT paper_id, 0 AS k, 'warning' AS severity, f || ' reference(s) could not be parsed into fields (kept raw): ' || fi AS message FROM g WHERE f > 0 UNION ALL
+  SELECT paper_id, 2, 'info', 'Segmented ' || n || ' entries using the ''bracket'' scheme.' FROM g UNION ALL
+  SELECT paper_id, 3, 'info', 'Linked ' || (v + l) || ' reference(s) to Semantic Scholar or OpenAlex (' || v || ' verified, ' || l || ' low-confidence).' FROM g WHERE v + l > 0 UNION ALL
+  SELECT paper_id, 4, 'warning', u || ' parsed reference(s) could not be verified against OpenAlex/Semantic Scholar (kept, flagged unverified): ' || ui FROM g WHERE u > 0""")
+def diagnostics(spark, sf_dir):
+    state, _ = _states(references(spark, sf_dir))
+    return papers.diagnostics(_ids(state), "bracket")
+
+
+@query(_DIFF_SQL + """, t AS (SELECT paper_id, section_id, 'Known [[cite:ref' || lo || ',ref' || hi || ']] fact. Again [[cite:ref' || lo || ']].' AS text FROM s)
+  SELECT paper_id, section_id, 5 AS n_words, 3 AS n_citations, '- ' || section_id || ': "Part" (5 words, 3 citations)' AS line FROM t""")
+def section_outline(spark, sf_dir):
+    d = _diffs(references(spark, sf_dir))
+    return papers.outline(d.select("paper_id", "section_id", F.lit("Part").alias("title"), F.col("old_text").alias("text")))
+
+
+def _findings(refs: DataFrame) -> DataFrame:
+    """A finding for every fifth reference of the papers not divisible by three; verdicts for some."""
+    p = F.col("pos")
+    return _ids(refs).where("paper_id % 3 <> 0 and pos % 5 = 0").select(
+        "paper_id", "ref_id", p.cast("int").alias("finding_no"), F.when(p % 2 == 0, "info").otherwise("mismatch").alias("kind"), F.when(p % 10 == 0, "supports").when(p % 15 == 0, "").alias("verdict"),
+    )
+
+
+def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("proposal_id"), F.col("o_orderkey").alias("seq"), F.when(k == 0, "pending").when(k == 1, "applied").when(k == 2, "rejected").otherwise("undone").alias("status"),
+    )
+
+
+_PAPERS_SQL = f"""WITH {REFS_SQL}, p AS (SELECT c_custkey AS paper_id FROM customer), f AS (SELECT paper_id, 'ref' || pos AS ref_id, pos AS finding_no, CASE WHEN pos % 2 = 0 THEN 'info' ELSE 'mismatch' END AS kind,
+    CASE WHEN pos % 10 = 0 THEN 'supports' WHEN pos % 15 = 0 THEN '' END AS verdict FROM refs WHERE paper_id % 3 <> 0 AND pos % 5 = 0),
+  o AS (SELECT o_custkey AS paper_id, o_orderkey AS proposal_id, CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'applied' WHEN 2 THEN 'rejected' ELSE 'undone' END AS status FROM orders)"""
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("paper_id"))
+    name = F.concat(F.lit("paper_"), F.lpad(F.col("paper_id") % 20, 2, "0"), F.lit("05.12345v2.pdf"))
+    return c.select("paper_id", name.alias("filename"), F.when(F.col("paper_id") % 2 == 0, "1987").otherwise("").alias("year"))
+
+
+@query(_PAPERS_SQL + """ SELECT p.paper_id, coalesce(a.n, 0) AS n_problems, coalesce(b.n, 0) AS n_pending FROM p LEFT JOIN (SELECT paper_id, count(*) FILTER (kind <> 'info') AS n FROM f GROUP BY 1) a ON p.paper_id = a.paper_id
+  LEFT JOIN (SELECT paper_id, count(*) FILTER (status = 'pending') AS n FROM o GROUP BY 1) b ON p.paper_id = b.paper_id""")
+def paper_counts(spark, sf_dir):
+    return papers.counts(_papers(spark, sf_dir), _findings(references(spark, sf_dir)), _proposals(spark, sf_dir))
+
+
+@query(_PAPERS_SQL + " SELECT paper_id, proposal_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY proposal_id DESC) AS INTEGER) AS rank FROM o")
+def proposal_history(spark, sf_dir):
+    return papers.history(_proposals(spark, sf_dir)).select("paper_id", "proposal_id", "rank")
+
+
+@query(_PAPERS_SQL + " SELECT paper_id, ref_id, finding_no, verdict FROM f WHERE verdict <> ''")
+def reference_verdicts(spark, sf_dir):
+    refs = references(spark, sf_dir)
+    return papers.verdicts_of(_findings(refs), _ids(refs)).select("paper_id", "ref_id", "finding_no", "verdict")
+
+
+@query(_PAPERS_SQL + f"""SELECT p.paper_id, CASE WHEN p.paper_id % 2 = 0 THEN '1987' ELSE CAST(2000 + p.paper_id % 20 AS VARCHAR) END AS year, coalesce(b.n, 0) AS n_entries, b.first_entry, CASE WHEN p.paper_id % 4 = 0 THEN -1 ELSE coalesce(g.n, 0) END AS n_findings,
+    g.kinds, coalesce(h.ids, '') AS proposals FROM p LEFT JOIN (SELECT paper_id, count(*) AS n, min_by('E' || pos, pos) AS first_entry FROM refs GROUP BY 1) b ON p.paper_id = b.paper_id
+  LEFT JOIN (SELECT paper_id, count(*) AS n, string_agg(kind, ',' ORDER BY finding_no) AS kinds FROM f WHERE paper_id % 4 <> 0 GROUP BY 1) g ON p.paper_id = g.paper_id
+  LEFT JOIN (SELECT paper_id, string_agg(CAST(proposal_id AS VARCHAR), ',' ORDER BY proposal_id) AS ids FROM o GROUP BY 1) h ON p.paper_id = h.paper_id""")
+def paper_payload(spark, sf_dir):
+    """The read model; papers divisible by four were never reviewed (-1), others may have no finding (0)."""
+    refs, own = references(spark, sf_dir), _papers(spark, sf_dir)
+    runs = own.where("paper_id % 4 <> 0")
+    out = papers.payload(own, refs.select("paper_id", "pos", F.concat(F.lit("E"), "pos").alias("entry")), runs, _findings(refs).where("paper_id % 4 <> 0"), _proposals(spark, sf_dir))
+    kinds = F.when(F.size("findings") > 0, F.array_join(F.transform("findings", lambda x: x["kind"]), ","))
+    return out.select(
+        "paper_id", "year", F.size("bibliography").cast("long").alias("n_entries"), F.get("bibliography", F.lit(0)).alias("first_entry"), F.coalesce(F.size("findings"), F.lit(-1)).cast("long").alias("n_findings"),
+        kinds.alias("kinds"), F.array_join(F.transform("proposals", lambda x: x.cast("string")), ",").alias("proposals"),
+    )
+
+
+@query("""WITH p AS (SELECT c_custkey AS paper_id, CASE WHEN c_custkey % 2 = 0 THEN 'ieee' ELSE 'apa' END AS style, c_custkey % 3 = 0 AS d, CASE c_custkey % 5 WHEN 0 THEN 'apa' WHEN 1 THEN 'ieee' WHEN 2 THEN 'mla' END AS c FROM customer)
+  SELECT paper_id, CASE WHEN c IN ('ieee', 'apa') THEN c ELSE style END AS style, d AND c IS DISTINCT FROM 'ieee' AND c IS DISTINCT FROM 'apa' AS style_detected, coalesce(c = 'mla', false) AS refused FROM p""")
+def chosen_styles(spark, sf_dir):
+    k = F.col("paper_id")
+    own = _papers(spark, sf_dir).select("paper_id", F.when(k % 2 == 0, "ieee").otherwise("apa").alias("style"), (k % 3 == 0).alias("style_detected"))
+    asked = own.where("paper_id % 5 < 3").select("paper_id", F.when(k % 5 == 0, "apa").when(k % 5 == 1, "ieee").otherwise("mla").alias("style"))
+    return papers.with_style(own, asked)
+
+
+@query(f"""WITH {REFS_SQL}, {ENTRIES_SQL} SELECT paper_id, pos, 'ref' || pos || ': ' || t || ' (' || f || ', ' || yr || ')' AS line FROM ents""")
+def prompt_references(spark, sf_dir):
+    return qa.reference_lines(_all_parsed(spark, sf_dir))
+
+
+@query(_DIFF_SQL + """ SELECT paper_id, section_id, 'Start ' || lo AS old_text, CASE section_id % 4 WHEN 1 THEN 'Op1' WHEN 2 THEN 'Op0' ELSE 'Op2' END AS new_text, CASE section_id % 4 WHEN 1 THEN 'n0,n1' WHEN 2 THEN 'n0' ELSE 'n0,n1,n2' END AS notes,
+    CASE section_id % 4 WHEN 2 THEN 'Op0' ELSE 'Op1' END AS base_of_last FROM s WHERE section_id % 4 <> 3""")
+def folded_edits(spark, sf_dir):
+    """Three operations a section, of which some fail; each starts from what was made before it."""
+    s = references(spark, sf_dir).groupBy("paper_id", "section_id").agg(F.min("pos").alias("lo"))
+    text = s.select("paper_id", "section_id", F.concat(F.lit("Start "), "lo").alias("text"))
+    k, n = F.col("section_id") % 4, F.col("op_no")
+    ops = s.select("paper_id", "section_id", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("op_no"))
+    failed = (k == 3) | ((k == 1) & (n == 2)) | ((k == 2) & (n > 0))
+    ops = ops.select("paper_id", "section_id", "op_no", F.when(~failed, F.concat(F.lit("Op"), n)).alias("new_text"), F.array(F.concat(F.lit("n"), n)).alias("notes"))
+    diffs, base = edit.folded_operations(ops, text)
+    last = base.where("op_no = 2").select("paper_id", "section_id", F.col("base_text").alias("base_of_last"))
+    return diffs.join(last, ["paper_id", "section_id"]).select("paper_id", "section_id", "old_text", "new_text", F.array_join("notes", ",").alias("notes"), "base_of_last")
+
+
+@query(f"""WITH {REFS_SQL}, n AS (SELECT *, CAST(split_part(doi, '/', 1) AS INTEGER) % 3 AS m FROM refs)
+  SELECT paper_id, pos, CASE WHEN m < 2 AND pos % 2 = 0 OR m = 2 AND pos % 2 = 1 THEN 'W' || doi END AS work_id FROM n""")
+def batch_works(spark, sf_dir):
+    """A list of identifiers for each paper; the result has a place for each, found or not."""
+    refs = references(spark, sf_dir)
+    ask = refs.select("paper_id", "pos", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("doi:10.5555/"), "doi")).otherwise(F.concat(F.lit("ARXIV:9701."), "doi")).alias("key"))
+    return resolve.batch_lookup(ask, _catalog(refs)).select("paper_id", "pos", "work_id")
+
+
 # --- flagship --------------------------------------------------------------------------
 
 
