@@ -208,26 +208,29 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each component, for the nodes of links (node, hub).
 
-    Each round takes the least label of the neighbours, then jumps to the label's label;
-    both are joins and minimum aggregates.
+    Each round every node goes to its least neighbour, if that is less, and on to where that one goes; links
+    between the nodes that are left make the next, smaller graph.  At most half of the nodes are left by a round, so
+    all rounds together join a few times the links, and so does putting their steps together, from the last back.
     """
-    both = links.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    both = staged(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    size = both.count()
-    now = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"))
-    now = staged(now, "labels")
+    links = staged(links.select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct(), "edges")
+    steps = []
     while True:
-        seen = both.join(_small(now.select(F.col("node").alias("b"), F.col("label").alias("l")), size), "b")
-        best = seen.groupBy(F.col("a").alias("node")).agg(F.min("l").alias("best"))
-        near = best.join(_small(now, size), "node").select("node", F.col("label").alias("was"), F.least("label", "best").alias("label"))
-        far = now.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = staged(
-            near.join(_small(far, size), "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")),
-            "labels",
-        )
-        now = new.select("node", "label")
-        if new.where(F.col("was") != F.col("label")).isEmpty():
-            return now
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")), "steps")
+        on = step.select(F.col("node").alias("to"), F.col("to").alias("on"))
+        step = staged(step.join(_small(on), "to").select("node", F.col("on").alias("to")), "steps")
+        steps.append(step)
+        ends = [_small(step.select(F.col("node").alias(k), F.col("to").alias(f"to_{k}"))) for k in "ab"]
+        left = links.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b")
+        links = staged(left.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct(), "edges")
+        if links.isEmpty():
+            break
+    final = steps.pop().withColumnRenamed("to", "label")
+    while steps:
+        step = steps.pop()
+        rest = _small(final.select(F.col("node").alias("to"), "label"))
+        final = staged(step.join(rest, "to", "left").select("node", F.coalesce("label", "to").alias("label")), "labels")
+    return final
 
 
 def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -149,6 +149,21 @@ def test_alignment_equals_the_full_one_where_texts_are_similar():
         assert N.similar(a, b) == (9 * full >= 4 * (len(a) + len(b)))
 
 
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(6)
+    ids = rng.sample(range(10_000), 400)
+    links = [(ids[i], ids[i + 1]) for i in range(120)] + [(ids[200], x) for x in ids[201:260]] + [(x, y) for x, y in zip(ids[300:350], ids[301:351])] + [(ids[300], ids[350]), (ids[399], ids[399])]
+    links += links[:5] + [(y, x) for x, y in links[5:9]]
+    label = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in label:
+        for x, y in links:
+            if x != y:
+                label[x] = label[y] = min(label[x], label[y])
+    got = {r["node"]: r["label"] for r in N.components(spark.createDataFrame(links, "node long, hub long")).collect()}
+    assert got == label
+    assert N.components(spark.createDataFrame([], "node long, hub long")).count() == 0
+
+
 def test_one_of_each(spark):
     texts = corpus(5)
     kept = {r["doc_id"] for r in N.one_of_each(docs_frame(spark, list(texts.items()))).collect()}
