@@ -604,6 +604,123 @@ def checked_answers(spark, sf_dir):
     return qa.answers(index, _given_answers(docs), _ids(refs))
 
 
+@query(f"""WITH {REFS_SQL}, p AS (SELECT DISTINCT paper_id FROM refs) SELECT paper_id, 'A Study of Parts' AS title FROM p""")
+def paper_titles(spark, sf_dir):
+    return layout.title_of(_paper_lines(references(spark, sf_dir)))
+
+
+@query(f"""WITH {REFS_SQL} SELECT paper_id, pos || '. ' || title || ' con' || 'tinued here.' AS entry FROM refs""")
+def dot_entries(spark, sf_dir):
+    """Entries numbered with a dot, each over two lines that break a word."""
+    refs = references(spark, sf_dir)
+    halves = F.array(F.concat("pos", F.lit(". "), "title", F.lit(" con-")), F.lit("tinued here."))
+    lines = refs.select("paper_id", "pos", F.posexplode(halves).alias("half", "text")).select("paper_id", (F.col("pos") * 2 + F.col("half")).alias("line_no"), "text")
+    return layout.split_on_line_start(lines).select("paper_id", "entry")
+
+
+def _hanging(refs: DataFrame) -> DataFrame:
+    """Author-year entries of three lines on one page; those of even papers are indented from the second line on."""
+    name = F.concat(F.initcap("fam"), F.lit(", A. Some title number "), "pos")
+    lines = refs.select("paper_id", "pos", F.posexplode(F.array(name, F.lit("and lower words"), F.lit("that follow."))).alias("half", "text"))
+    x0 = F.when((F.col("paper_id") % 2 == 0) & (F.col("half") > 0), 84.0).otherwise(72.0)
+    return lines.select("paper_id", (F.col("pos") * 3 + F.col("half")).alias("line_no"), "text", F.lit(0).alias("page"), x0.alias("x0"), F.lit(612.0).alias("page_width"))
+
+
+@query(f"""WITH {REFS_SQL}, e AS (SELECT paper_id, pos, count(*) OVER (PARTITION BY paper_id) AS n, upper(substr(fam, 1, 1)) || substr(fam, 2) || ', A. Some title number ' || pos || ' and lower words that follow.' AS entry, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS k FROM refs)
+  SELECT paper_id, CAST(k AS INTEGER) AS k, CASE WHEN paper_id % 2 = 0 AND n >= 2 THEN 'author-year-indent' ELSE 'author-year-regex' END AS scheme, entry FROM e""")
+def author_year_entries(spark, sf_dir):
+    return layout.author_year_entries(_hanging(references(spark, sf_dir))).select("paper_id", "k", "scheme", "entry")
+
+
+@query(_DIFF_SQL + """, o AS (SELECT paper_id, section_id, 0 AS op_no, 'rewrite' AS action FROM s UNION ALL SELECT paper_id, section_id, 1, 'translate' FROM s UNION ALL SELECT paper_id, section_id + 1000000, 2, 'shorten' FROM s),
+  v AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY section_id * 3 + op_no) AS k FROM o WHERE action = 'rewrite') SELECT paper_id, section_id, action FROM v WHERE k <= 4""")
+def planned_operations(spark, sf_dir):
+    s = _diffs(references(spark, sf_dir)).select("paper_id", "section_id")
+    ops = s.select("paper_id", F.inline(F.array(
+        F.struct("section_id", F.lit(0).alias("no"), F.lit("rewrite").alias("action")), F.struct("section_id", F.lit(1).alias("no"), F.lit("translate").alias("action")),
+        F.struct((F.col("section_id") + 1000000).alias("section_id"), F.lit(2).alias("no"), F.lit("shorten").alias("action")),
+    )))
+    ops = ops.withColumn("op_no", F.col("section_id") * 3 + F.col("no"))
+    return edit.valid_operations(ops, s).select("paper_id", "section_id", "action")
+
+
+@query(_DIFF_SQL + """ SELECT paper_id, section_id, CASE WHEN section_id % 4 = 0 THEN 1 ELSE 2 END AS attempt FROM s WHERE section_id % 4 = 0 OR section_id % 3 = 0""")
+def accepted_rewrites(spark, sf_dir):
+    """First attempts as in the diffs (kept only for one in four); every third section has a second one that keeps all."""
+    d = _diffs(references(spark, sf_dir))
+    second = d.where("section_id % 3 = 0").withColumn("new_text", F.concat(F.lit("Again: "), "old_text")).withColumn("attempt", F.lit(2))
+    third = d.withColumn("new_text", F.col("old_text")).withColumn("attempt", F.lit(3))
+    tries = d.withColumn("attempt", F.lit(1)).unionByName(second).unionByName(third)
+    return edit.accepted_rewrites(tries, ["paper_id", "section_id"]).select("paper_id", "section_id", "attempt")
+
+
+@query(_DIFF_SQL + """, n AS (SELECT paper_id, count(*) AS n FROM refs GROUP BY 1)
+  SELECT paper_id, section_id, 'One part! Two parts [[cite:ref' || (n + 1) || ']]. Three [[cite:ref' || (n + 1) || ']] [[cite:ref' || (n + 2) || ']]?' AS new_text FROM s JOIN n USING (paper_id)""")
+def placed_citations(spark, sf_dir):
+    """Picks in order: a candidate twice, one out of range, and one beyond the third."""
+    refs = references(spark, sf_dir)
+    s = refs.select("paper_id", "section_id").distinct().withColumn("text", F.lit("One part! Two parts. Three?"))
+    picks = s.select("paper_id", "section_id", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("pick_no"), F.lit(i).alias("sentence_index"), F.lit(c).alias("candidate_index")) for k, (i, c) in enumerate(((2, 4), (9, 1), (2, 7), (1, 4), (0, 2)))
+    ])))
+    return edit.place_citations(s, picks, refs.groupBy("paper_id").agg(F.count("*").alias("n_refs")))[0].select("paper_id", "section_id", "new_text")
+
+
+def _long_sections(refs: DataFrame) -> DataFrame:
+    """Sections long enough to be reviewed, but for the least of each paper, which is its abstract."""
+    s = refs.groupBy("paper_id", "section_id").agg(F.min("pos").alias("lo"))
+    first = F.min("section_id").over(Window.partitionBy("paper_id"))
+    text = F.concat(F.lit("Parts are said to last for many years [[cite:ref"), "lo", F.lit("]]. A claim without any source stands in this long sentence. "), F.repeat(F.lit("More of it. "), 30))
+    return s.select("paper_id", "section_id", F.col("section_id").alias("sec_no"), F.when(F.col("section_id") == first, "Abstract").otherwise("Results").alias("title"), text.alias("text"), "lo")
+
+
+_REVIEW_SQL = _DIFF_SQL + """, z AS (SELECT paper_id, section_id, lo, row_number() OVER (PARTITION BY paper_id ORDER BY section_id) - 1 AS k FROM s), r AS (SELECT * FROM z WHERE k BETWEEN 1 AND 6)"""
+
+
+@query(_REVIEW_SQL + """ SELECT paper_id, section_id, 'info' AS kind, NULL AS claim, 'No candidate works found.' AS rationale FROM r WHERE section_id % 3 = 0 UNION ALL
+  SELECT paper_id, section_id, 'missing_citation', 'Hit 2', 'why 1' FROM r WHERE section_id % 3 > 0 UNION ALL SELECT paper_id, section_id, 'missing_citation', 'Hit 1', 'why 0' FROM r WHERE section_id % 3 > 0""")
+def missing_works(spark, sf_dir):
+    s = _long_sections(references(spark, sf_dir))
+    key = ["paper_id", "section_id"]
+    asked = s.select(*key, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("query_no")).withColumn("query", F.lit("parts"))
+    hits = s.where("section_id % 3 > 0").select(*key, F.explode(F.sequence(F.lit(1), F.lit(8))).alias("rank")).withColumn("title", F.concat(F.lit("Hit "), "rank"))
+    picks = s.select(*key, F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("pick_no")).select(
+        *key, "pick_no", F.col("pick_no").alias("index"), F.lit(None).cast("string").alias("confidence"), F.concat(F.lit("why "), "pick_no").alias("rationale")
+    )
+    return review.missing_work(s, asked, hits, picks).select("paper_id", "section_id", "kind", "claim", "rationale")
+
+
+@query(_REVIEW_SQL + """, c AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY section_id) AS n FROM z) SELECT paper_id, section_id, 'ref' || lo AS ref_id, CASE WHEN lo % 4 = 0 THEN 'unverifiable' WHEN lo % 3 = 0 THEN 'mismatch' WHEN lo % 3 = 1 THEN 'unverifiable' ELSE 'info' END AS kind,
+    'Parts are said to last for many years [[cite:ref' || lo || ']].' AS claim FROM c WHERE n <= 15""")
+def citation_checks(spark, sf_dir):
+    refs = _ids(references(spark, sf_dir))
+    s = _long_sections(refs)
+    cits = s.select("paper_id", "section_id", F.row_number().over(Window.partitionBy("paper_id").orderBy("section_id")).alias("cit_no"), F.lit(True).alias("resolved"), F.array(F.concat(F.lit("ref"), "lo")).alias("ref_ids"), "lo")
+    told = F.when(F.col("lo") % 3 == 0, "does_not_support").when(F.col("lo") % 3 == 1, "cannot_tell").otherwise("supports")
+    verdicts = cits.select("paper_id", "cit_no", F.get("ref_ids", F.lit(0)).alias("ref_id"), told.alias("verdict"))
+    known = refs.select("paper_id", "ref_id", F.when(F.col("pos") % 4 == 0, "").otherwise("An abstract.").alias("abstract"))
+    return review.citation_checks(cits.drop("lo"), s, known, verdicts).select("paper_id", "section_id", "ref_id", "kind", "claim")
+
+
+@query(_REVIEW_SQL + """ SELECT paper_id, section_id, 'A claim without any source stands in this long sentence.' AS claim FROM r""")
+def uncited_claims(spark, sf_dir):
+    """Claims of which one is in the text, one has a citation, one is not there and one is too short."""
+    s = _long_sections(references(spark, sf_dir))
+    said = ("A  claim without any source\nstands in this long sentence.", "Parts are said to last for many years [[cite:ref1]].", "A sentence that nobody wrote in this section at all.", "More of it.")
+    claims = s.select("paper_id", "section_id", F.posexplode(F.array(*[F.lit(x) for x in said])).alias("claim_no", "sentence"))
+    return review.uncited_claims(s, claims).select("paper_id", "section_id", "claim")
+
+
+@query(_DIFF_SQL + """ SELECT paper_id, section_id, 'the edited sentence “This is a new sentence without any source in section ' || section_id || '.” may need a citation — no source' AS warning FROM s WHERE section_id % 2 = 0""")
+def edit_warnings(spark, sf_dir):
+    """A new sentence in every section, flagged in every second one; flags of places that don't exist."""
+    d = _diffs(references(spark, sf_dir))
+    new = F.concat("old_text", F.lit(" This is a new sentence without any source in section "), "section_id", F.lit(". Short one."))
+    key = ["paper_id", "section_id"]
+    flags = d.where("section_id % 2 = 0").select(*key, F.posexplode(F.array(F.lit(5), F.lit(0))).alias("flag_no", "index")).withColumn("why", F.lit("no source"))
+    return review.post_edit_warnings(d.withColumn("new_text", new), flags, key).select(*key, "warning")
+
+
 # --- papers as a whole ------------------------------------------------------------------
 
 
