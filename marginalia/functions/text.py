@@ -283,14 +283,21 @@ def fix_diacritics(x: Column) -> Column:
     import string
     import unicodedata
 
+    def composed(accent: str, mark: str):
+        def of(text: Column) -> Column:
+            fixed = F.regexp_replace(F.regexp_replace(text, f"{accent}\\s?\u0131", f"{accent}i"), f"{accent}\\s?([A-Za-z])", f"$1{mark}")
+            for base in string.ascii_letters:
+                whole = unicodedata.normalize("NFC", base + mark)
+                if len(whole) == 1:
+                    fixed = F.replace(fixed, F.lit(base + mark), F.lit(whole))
+            return F.when(F.contains(text, F.lit(accent)), fixed).otherwise(text)
+
+        return of
+
     out = x
     for accent, mark in ACCENTS.items():
-        fixed = F.regexp_replace(F.regexp_replace(out, f"{accent}\\s?\u0131", f"{accent}i"), f"{accent}\\s?([A-Za-z])", f"$1{mark}")
-        for base in string.ascii_letters:
-            whole = unicodedata.normalize("NFC", base + mark)
-            if len(whole) == 1:
-                fixed = F.replace(fixed, F.lit(base + mark), F.lit(whole))
-        out = F.when(F.contains(out, F.lit(accent)), fixed).otherwise(out)
+        # A name for the text so far: each accent uses it three times.
+        out = F.get(F.transform(F.array(out), composed(accent, mark)), F.lit(0))
     for base in "csgCSG":
         out = F.regexp_replace(out, f"{base}\\s?\u00b8", unicodedata.normalize("NFC", base + "\u0327"))
     return F.regexp_replace(out, r"(?U)(?<![\w.])([A-Z\u00c0-\u00de])\s\.", "$1.")
