@@ -49,9 +49,10 @@ CACHE_WORDS = 400_000
 CHUNK = 20_000
 #: Characters of a group of texts that are scored at once.
 GROUP = 1 << 19
-#: Numerals that are no letters though they count as word characters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: Numerals that are no letters though they count as word characters; blanks stand in for them.
+_NUMERALS = {c: " " for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+_BLANKS = str.maketrans(_NUMERALS)
+WORD = re.compile(r"[^\W\d_]+")
 
 # Script ranges by first code point; a letter belongs to the last range that starts at or before it.
 SCRIPTS = (
@@ -79,9 +80,10 @@ def script(word: str) -> int:
 
 def plain(text: str) -> str:
     """The text that words are found in."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-    return text.lower()
+    if text.isascii():
+        return text.lower()
+    low = unicodedata.normalize("NFC", text).lower()
+    return low if _NUMERALS.keys().isdisjoint(low) else low.translate(_BLANKS)
 
 
 def words_of(text: str) -> list[str]:
