@@ -198,10 +198,21 @@ def structural_checks(spark, sf_dir):
   cited AS (SELECT paper_id, lo AS pos FROM s UNION SELECT paper_id, hi FROM s)
   SELECT paper_id, 'ref' || pos AS ref_id FROM refs ANTI JOIN cited USING (paper_id, pos)""")
 def uncited_references(spark, sf_dir):
+    """References that no marker of a text links to; each section cites its first and last one."""
     refs = references(spark, sf_dir)
-    ends = corpus.numbered_sections(refs)
-    cited = ends.select("paper_id", F.explode(F.array("lo", "hi")).alias("pos")).distinct()
-    return _ids(refs.join(cited, ["paper_id", "pos"], "left_anti")).select("paper_id", "ref_id")
+    text = F.concat(F.lit("Prior work ["), "lo", F.lit(", "), "hi", F.lit("] is broad."))
+    own = corpus.numbered_sections(refs).select("paper_id", "section_id", text.alias("text"))
+    _, cits = link.tokenize(own, _linkable(refs))
+    return link.uncited(_ids(refs), cits).select("paper_id", "ref_id")
+
+
+@query(f"""WITH {REFS_SQL}, s AS (SELECT DISTINCT paper_id, section_id FROM refs), m AS (SELECT *, unnest([0, 1, 2]) AS pos FROM s)
+  SELECT paper_id, section_id, pos, 'cit' || row_number() OVER (PARTITION BY paper_id ORDER BY section_id, pos) AS cit_id FROM m""")
+def citation_ids(spark, sf_dir):
+    """A list, a range and an orphan in every section; their ids run over the paper."""
+    refs = references(spark, sf_dir)
+    _, cits = link.tokenize(corpus.numbered_sections(refs).select("paper_id", "section_id", "text"), _linkable(refs))
+    return cits.select("paper_id", "section_id", "pos", "cit_id")
 
 
 # --- resolution ----------------------------------------------------------------------
