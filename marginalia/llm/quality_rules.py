@@ -12,7 +12,7 @@ and every group has a scale of its own.
 Thresholds are quantiles of the sketch, extended by the ratio they have to the median: a
 group's upper threshold is U * (U / M) ** ``REACH`` with M its median and U its ``UPPER``
 quantile, and the lower one of mean word length mirrors it.  Buckets are logarithms, so
-this is linear in bucket numbers.  There is no constant margin: the same text can be an outlier of
+this is linear in bucket numbers; a distance below the sketch's resolution counts as one bucket.  There is no constant margin: the same text can be an outlier of
 one source and usual in another.
 The quantiles of a group of n documents are drawn toward those of its language, and these toward
 those of everything, with the weight of ``PRIOR`` documents: a large group decides for itself, a
@@ -219,8 +219,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     langs = drawn(langs, everything, F.lit(True))
     groups = drawn(groups, langs, F.col("g_lang").eqNullSafe(F.col("c_g_lang")))
     two_sided = F.col("metric").isin([k for k, v in METRICS.items() if v])
-    hi = F.col("upper") + REACH * (F.col("upper") - F.col("mid"))
-    lo = F.when(two_sided, F.col("lower") - REACH * (F.col("mid") - F.col("lower"))).otherwise(-1)
+    # The sketch tells distances to a bucket; a smaller one counts as that.
+    up, down = (F.greatest(F.col(a) - F.col(b), F.lit(1000)) for a, b in (("upper", "mid"), ("mid", "lower")))
+    hi = F.col("upper") + REACH * up
+    lo = F.when(two_sided, F.col("lower") - REACH * down).otherwise(-1)
     return (
         groups.select("g_lang", "g_source", "metric", F.struct(lo.cast("long").alias("lo"), hi.alias("hi")).alias("f"))
         .groupBy("g_lang", "g_source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "f"))).alias("fence"))

@@ -85,7 +85,7 @@ p AS (SELECT x.lang, x.metric, (x.n * x.a + PRIOR * y.a) // (x.n + PRIOR) AS a,
     FROM q x JOIN q y ON y.lev = 0 AND x.metric = y.metric WHERE x.lev = 1),
 z AS (SELECT x.lang, x.source, x.metric, (x.n * x.a + PRIOR * y.a) // (x.n + PRIOR) AS a, (x.n * x.b + PRIOR * y.b) // (x.n + PRIOR) AS b, (x.n * x.c + PRIOR * y.c) // (x.n + PRIOR) AS c
     FROM q x JOIN p y ON x.metric = y.metric AND x.lang IS NOT DISTINCT FROM y.lang WHERE x.lev = 2),
-x AS (SELECT lang, source, metric, c + REACH * (c - b) AS hi, CASE WHEN metric = 'word_len' THEN a - REACH * (b - a) ELSE -1 END AS lo FROM z),
+x AS (SELECT lang, source, metric, c + REACH * greatest(c - b, 1000) AS hi, CASE WHEN metric = 'word_len' THEN a - REACH * greatest(b - a, 1000) ELSE -1 END AS lo FROM z),
 j AS (SELECT doc_id, k.bk * 1000 BETWEEN lo AND hi AS ok FROM k LEFT JOIN x ON x.metric = k.metric AND x.lang IS NOT DISTINCT FROM k.lang AND x.source IS NOT DISTINCT FROM k.source),
 o AS (SELECT doc_id, bool_and(coalesce(ok, true)) AS ok FROM j GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM b JOIN o USING (doc_id)
