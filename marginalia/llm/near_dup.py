@@ -14,7 +14,7 @@ Jaccard similarity of the labelled shingles).  A pair with similarity 0.8 has
 an alignment within (n + m) / 9 of the diagonal, so the band loses nothing.
 
 Classes are the connected components of verified links.  Copies with equal text
-are one node.  In a bucket, members are compared with a hub, its least node, instead
+are one node.  In a bucket, members are compared with a hub, the one that meets most others over all buckets, instead
 of with each other.  Where that leaves several classes in a bucket, a bucket of up to ``SMALL``
 members compares all of different classes.
 
@@ -266,7 +266,8 @@ def text_classes(docs: DataFrame) -> DataFrame:
     )
     members = _members(uniq.select("node", "n", F.explode("keys").alias("h")))
     texts = _texts(rows, uniq, members.select("node").distinct())
-    pairs = staged(members.where(f"node <> hub and {FIT.format('n', 'hub_n')}").select("node", "hub").distinct(), "pairs")
+    pairs = members.where(f"node <> hub and {FIT.format('n', 'hub_n')}")
+    pairs = staged(pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct(), "pairs")
     labels = components(_verified(texts, pairs))
     crowd = _open(members, labels)
     dense = crowd.where(F.col("size") > SMALL).select("node", "label").distinct()
@@ -278,11 +279,16 @@ def text_classes(docs: DataFrame) -> DataFrame:
 
 
 def _members(bands: DataFrame) -> DataFrame:
-    """The rows of buckets with several texts, with the bucket's hub and size."""
-    crowd = bands.groupBy("h").agg(
-        F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.max("node").alias("most"), F.count("*").alias("size")
-    )
-    return staged(bands.join(crowd.where("hub < most").drop("most"), "h"), "members")
+    """The rows of buckets with several texts, with the bucket's hub, its length, and the bucket's size.
+
+    The hub is the member that meets most others over all its buckets, the least node of equals: among variants of
+    one text that is one near their centre, so that fewer classes are left apart.
+    """
+    crowd = bands.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    members = staged(bands.join(crowd, "h"), "members")
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    best = members.join(_small(met), "node").groupBy("h").agg(F.max(F.struct("met", (-F.col("node")).alias("less"), "n")).alias("x"))
+    return staged(members.join(best.select("h", (-F.col("x.less")).alias("hub"), F.col("x.n").alias("hub_n")), "h"), "hubs")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
