@@ -58,11 +58,21 @@ def staged_so_far() -> int:
 def drop_staged(spark: SparkSession, since: int = 0) -> None:
     """Delete the staged tables, or those after the first since.  For use once every result that
     was computed from them is written elsewhere."""
+    drop_paths(spark, _STAGED[since:])
+
+
+def staged_since(before: int) -> list[str]:
+    return _STAGED[before:]
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these folders; staged tables among them count as dropped."""
     jvm = spark.sparkContext._jvm
-    for path in _STAGED[since:]:
+    for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del _STAGED[since:]
+    gone = set(paths)
+    _STAGED[:] = [x for x in _STAGED if x not in gone]
 
 
 def let(value: Column, body) -> Column:

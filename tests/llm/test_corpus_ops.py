@@ -1,6 +1,7 @@
 """Decontamination, mixing, URL rules and the pipeline."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -303,3 +304,28 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         for df in (odd_docs(spark), odd_docs(spark).where(F.lit(False))):
             stage(spark, df, str(tmp_path)).collect()
+
+
+def test_pipeline_leaves_one_stage_on_disk(spark, tmp_path):
+    """Stages written and read one by one, as their contract has it: what earlier ones put aside goes."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(10**5)}" for _ in range(90))) for i in range(40)]
+    docs_frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    bench_frame(spark, [(1, "an item of some words that none has")]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels_frame(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    others = set(shared.glob("*"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), set()
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        left = set(shared.glob("*")) - others
+        assert not left & seen, name
+        seen = left
+        out.write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+    assert sorted(r["doc_id"] for r in docs.collect()) == list(range(40))
+    before = set(shared.glob("*"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 40
+    # The result and the token files are all that stays.
+    assert sorted(p.name.split("-")[1] for p in set(shared.glob("*")) - before) == ["sst", "stage"]
