@@ -85,6 +85,16 @@ def test_title_may_end_in_a_number_that_ends_like_a_year(spark):
     assert got == {k: (f"Small ring Brand#3 Supplier#{x}", 1995) for k, x in ends.items()} | {5: ("A clockwork thing for all", 1995)}
 
 
+def _numbered_title(spark):
+    return spark.createDataFrame([(1, 1, "ref1", "[1] Ann Lee. 1995. Small ring Supplier#000001997. In Parts Workshop, pages 1-9.")], "paper_id long, pos int, ref_id string, raw string")
+
+
+def test_bibliography_keeps_a_number_that_ends_like_a_year(spark):
+    row = entries.parse_entries(_numbered_title(spark)).select(export.entry_text(F.lit("ieee")).alias("ieee"), export.entry_text(F.lit("apa")).alias("apa")).first()
+    assert row["ieee"] == "A. Lee, “Small ring Supplier#000001997,” in Parts Workshop, 1995."
+    assert row["apa"] == "Lee, A. (1995). Small ring Supplier#000001997. Parts Workshop."
+
+
 REFS = "paper_id long, pos int, ref_id string, yr int, names array<string>, raw string"
 
 
