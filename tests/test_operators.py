@@ -95,6 +95,10 @@ def test_bibliography_keeps_a_number_that_ends_like_a_year(spark):
     assert row["apa"] == "Lee, A. (1995). Small ring Supplier#000001997. Parts Workshop."
 
 
+def test_bibtex_keeps_a_number_that_ends_like_a_year(spark):
+    assert "  title = {Small ring Supplier#000001997}," in export.bibtex(entries.parse_entries(_numbered_title(spark))).first()["bibtex"]
+
+
 REFS = "paper_id long, pos int, ref_id string, yr int, names array<string>, raw string"
 
 
