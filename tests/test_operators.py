@@ -99,6 +99,10 @@ def test_bibtex_keeps_a_number_that_ends_like_a_year(spark):
     assert "  title = {Small ring Supplier#000001997}," in export.bibtex(entries.parse_entries(_numbered_title(spark))).first()["bibtex"]
 
 
+def test_prompt_lines_keep_a_number_that_ends_like_a_year(spark):
+    assert qa.reference_lines(entries.parse_entries(_numbered_title(spark))).first()["line"] == "ref1: Small ring Supplier#000001997 (Lee, 1995)"
+
+
 REFS = "paper_id long, pos int, ref_id string, yr int, names array<string>, raw string"
 
 
