@@ -258,12 +258,7 @@ def best_matches(spark, sf_dir):
   SELECT title, work FROM pr WHERE n / hi >= 0.75 OR (n = lo AND lo >= 3)""")
 def similar_titles(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    titles = part.select(F.concat_ws(" ", F.lower("p_type"), "p_brand", "p_name").alias("title")).distinct().withColumn("all", F.lit(0))
-    works = titles.select("all", F.col("title").alias("work_id"), "title")
-    refs = titles.select("all", F.col("title").alias("ref_key"), "title")
-    pairs = resolve.title_candidates(refs, works, ["all", "ref_key"], ["all"]).where("ref_key <> work_id")
-    similar = T.title_similarity(F.col("ref_key"), F.col("work_id")) >= T.MATCH
-    return pairs.where(similar).select(F.col("ref_key").alias("title"), F.col("work_id").alias("work"))
+    return resolve.similar_titles(part.select(F.concat_ws(" ", F.lower("p_type"), "p_brand", "p_name").alias("title")).distinct())
 
 
 @query(f"""WITH {REFS_SQL}, {WORKS_SQL}, r AS (SELECT paper_id, pos, source, title, cited_by, CASE WHEN doi IS NULL THEN regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') ELSE doi END AS k, CASE WHEN source = 'semanticscholar' THEN 0 ELSE 1 END AS rs FROM works WHERE title <> ''),

@@ -1,5 +1,8 @@
 """Operators on small tables, by behaviour."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
@@ -261,3 +264,22 @@ def test_whole_table_exports(spark, tmp_path):
     assert listed[4] == ("[4]", "(France, 1994)", f"France, “{title[3]},” Journal of Parts, vol. 12, no. 3, pp. 45-67, 1994.", f"France (1994). {title[3]}. Journal of Parts, 12(3), 45-67.")
     ids = [r["section_id"] for r in Q.QUERIES["sections"](spark, str(tmp_path)).collect()]
     assert set(ids) > {"abstract", "sec1", "sec2"}
+
+
+def test_similar_titles_equal_all_pairs(spark):
+    """Few tokens in many titles, some contained in others, of one token or of none."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(12)]
+    titles = sorted({" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 13))) for _ in range(300)} | {"", "a b", "w1 W1", "w1", "w2 w1 w3!", "w1 w2 w3", "w1 w2 w3 x y z w9"})
+    rows = spark.createDataFrame([(t,) for t in titles], "title string")
+    got = [tuple(r) for r in resolve.similar_titles(rows).collect()]
+    each = [(a, set(re.findall("[a-z0-9]{2,}", a.lower()))) for a in titles]
+    want = {(a, b) for a, x in each for b, y in each if a != b and x and y and (4 * len(x & y) >= 3 * max(len(x), len(y)) or len(x & y) == min(len(x), len(y)) >= 3)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_similar_titles_of_a_small_vocabulary(spark):
+    """Thousands of titles that all share tokens with most others."""
+    titles = [f"type{t} Brand#{b} adj{a} noun{n}" for t in range(6) for b in range(10, 20) for a in range(8) for n in range(8)]
+    out = resolve.similar_titles(spark.createDataFrame([(t,) for t in titles], "title string"))
+    assert out.count() == len(titles) * (5 + 9 + 7 + 7)
