@@ -638,16 +638,23 @@ def author_year_entries(spark, sf_dir):
     return layout.author_year_entries(_hanging(references(spark, sf_dir))).select("paper_id", "k", "scheme", "entry")
 
 
+def _plans(s: DataFrame) -> DataFrame:
+    """Three operations for each section: one that stands, one of an unknown action, one on a section that its paper lacks."""
+    # Sections lie within a span of the paper's; a step longer than that leads out of it, however large the table.
+    of_paper = Window.partitionBy("paper_id")
+    step = F.greatest(F.lit(1000000), F.max("section_id").over(of_paper) - F.min("section_id").over(of_paper) + 1)
+    ops = s.withColumn("step", step).select("paper_id", F.inline(F.array(
+        F.struct("section_id", F.lit(0).alias("no"), F.lit("rewrite").alias("action")), F.struct("section_id", F.lit(1).alias("no"), F.lit("translate").alias("action")),
+        F.struct((F.col("section_id") + F.col("step")).alias("section_id"), F.lit(2).alias("no"), F.lit("shorten").alias("action")),
+    )))
+    return ops.withColumn("op_no", F.col("section_id") * 3 + F.col("no"))
+
+
 @query(_DIFF_SQL + """, o AS (SELECT paper_id, section_id, 0 AS op_no, 'rewrite' AS action FROM s UNION ALL SELECT paper_id, section_id, 1, 'translate' FROM s UNION ALL SELECT paper_id, section_id + 1000000, 2, 'shorten' FROM s),
   v AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY section_id * 3 + op_no) AS k FROM o WHERE action = 'rewrite') SELECT paper_id, section_id, action FROM v WHERE k <= 4""")
 def planned_operations(spark, sf_dir):
     s = _diffs(references(spark, sf_dir)).select("paper_id", "section_id")
-    ops = s.select("paper_id", F.inline(F.array(
-        F.struct("section_id", F.lit(0).alias("no"), F.lit("rewrite").alias("action")), F.struct("section_id", F.lit(1).alias("no"), F.lit("translate").alias("action")),
-        F.struct((F.col("section_id") + 1000000).alias("section_id"), F.lit(2).alias("no"), F.lit("shorten").alias("action")),
-    )))
-    ops = ops.withColumn("op_no", F.col("section_id") * 3 + F.col("no"))
-    return edit.valid_operations(ops, s).select("paper_id", "section_id", "action")
+    return edit.valid_operations(_plans(s), s).select("paper_id", "section_id", "action")
 
 
 @query(_DIFF_SQL + """ SELECT paper_id, section_id, CASE WHEN section_id % 4 = 0 THEN 1 ELSE 2 END AS attempt FROM s WHERE section_id % 4 = 0 OR section_id % 3 = 0""")
