@@ -75,6 +75,18 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     _STAGED[:] = [x for x in _STAGED if x not in gone]
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system.  Spark keeps its Python workers for later
+    stages, and Arrow and the C library keep what was freed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and use it many times in body."""
     return F.transform(F.array(value), body)[0]

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import staged
+from marginalia.llm.common import give_back, staged
 from marginalia.llm.words import groups, mix, word_hashes
 
 STRIDE = 32
@@ -300,6 +300,8 @@ def _clean(sent):
         index = Index(*sent.value)
         for texts in batches:
             yield pd.Series([not found for found in index.matches(texts.tolist())], dtype=bool)
+            del texts
+            give_back()
 
     return clean
 

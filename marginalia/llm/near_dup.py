@@ -46,7 +46,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import staged
+from marginalia.llm.common import give_back, staged
 from marginalia.llm.words import groups, mix, word_hashes
 
 WIDTH = 5
@@ -174,6 +174,8 @@ def _sketch(batches):
             n.append(len(x))
             keys.append(bucket_keys(x))
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tkey": pdf["tkey"], "n": n, "keys": keys})
+        del pdf, n, keys
+        give_back()
 
 
 def has_words(text: Column) -> Column:
@@ -197,6 +199,8 @@ def _verify(batches):
                 known[hub] = next(_shingles_of([own]))
             ok.append(similar(known[hub], other))
         yield pdf.loc[ok, ["node", "hub"]] if ok else pd.DataFrame({"node": [], "hub": []}).astype("int64")
+        del pdf
+        give_back()
 
 
 def _small(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import fresh_path, staged
+from marginalia.llm.common import fresh_path, give_back, staged
 
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS = 10
@@ -51,8 +51,10 @@ FOOTER = struct.Struct("<QQQQQQH6x8s")
 END_ID = 0
 #: Characters of a text that, after doc_id, decide on its shard.
 DEALT = 64
-#: Distinct chunks remembered by an encoder, about 150 bytes each.
-CACHE_CHUNKS = 900_000
+#: Distinct chunks remembered by an encoder, about 200 bytes each: half of them new ones, half those before.
+CACHE_CHUNKS = 500_000
+#: Chunks encoded as one text.
+JOINED_CHUNKS = 512
 
 
 #: Stands in tail for the first part of a text, whose ids come from head.
@@ -72,6 +74,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        # Chunks come once, so the tokenizer's own memory of words only costs time.
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -80,6 +85,8 @@ class ChunkEncoder:
         self.spaced[[i for x, i in self.tok.get_vocab().items() if x.startswith("\u0120")]] = True
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes | None] = {}
+        #: The tail before this one; what is met again moves on.
+        self.old: dict[str, bytes | None] = {}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
@@ -93,8 +100,8 @@ class ChunkEncoder:
         """Ids of chunks behind a space each.  They are encoded as one text, which
         saves a call per chunk, and told apart by the tokens that begin with a space."""
         out: list[bytes] = []
-        for lo in range(0, len(chunks), 4096):
-            part = chunks[lo : lo + 4096]
+        for lo in range(0, len(chunks), JOINED_CHUNKS):
+            part = chunks[lo : lo + JOINED_CHUNKS]
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.spaced[ids])
             if len(at) != len(part) or (len(at) and at[0]):
@@ -106,27 +113,31 @@ class ChunkEncoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.tail) + len(self.head) > CACHE_CHUNKS:
+        if len(self.tail) + len(self.head) > CACHE_CHUNKS // 2:
             self.head.clear()
-            self.tail.clear()
-        parts = [t.split(" ") for t in texts]
-        heads = list({p[0] for p in parts}.difference(self.head))
+            self.old, self.tail = self.tail, {}
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
+        parts = [texts[i].split(" ") for i in plain]
+        firsts = [p[0] for p in parts]
+        heads = list(set(firsts).difference(self.head))
         self.head.update(zip(heads, self._pack(heads), strict=True))
         self.tail[_FIRST] = b""
-        fresh = set().union(*parts).difference(self.tail)
-        odd = {x for x in fresh if not x or x[0].isspace() or any(s in x for s in self.special)}
+        for p in parts:
+            p[0] = _FIRST
+        missing = set().union(*parts).difference(self.tail)
+        fresh = missing.difference(self.old)
+        again = missing - fresh
+        self.tail.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        odd = {x for x in fresh if not x or x[0].isspace()}
         self.tail.update(dict.fromkeys(odd))
         good = list(fresh - odd)
         self.tail.update(zip(good, self._pack_chunks(good), strict=True))
-        out: list[bytes | None] = []
-        for t, p in zip(texts, parts, strict=True):
-            first = self.head[p[0]]
-            p[0] = _FIRST
+        for i, first, p in zip(plain, firsts, parts, strict=True):
             try:
-                ids = first + b"".join(map(self.tail.__getitem__, p))
+                out[i] = self.head[first] + b"".join(map(self.tail.__getitem__, p))
             except TypeError:  # None: a space that is no place to cut
-                ids = None
-            out.append(None if ids is None or any(s in t for s in self.special) else ids)
+                pass
         whole = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(whole, self._pack([texts[i] for i in whole]), strict=True):
             out[i] = ids
@@ -310,6 +321,7 @@ def write_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", folder:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        give_back()
         enc = _encoder(tokenizer)
         end = np.array([END_ID], enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
@@ -318,14 +330,14 @@ def write_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", folder:
         name, edges = f"shard-{part:07d}-{uuid.uuid4().hex[:12]}.sst", [None, None, False]
         try:
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for lo in range(0, len(ids), 512):
+                for lo in range(0, batch.num_rows, 512):
+                    # A batch holds up to 10,000 texts: only these become Python's.
+                    ids, texts = (batch.column(k).slice(lo, 512).to_pylist() for k in (0, 1))
                     if writer is None:
                         fs.create_dir(base, recursive=True)
                         stream = fs.open_output_stream(f"{base}/{name}")
                         writer = ShardWriter(stream, enc.dtype.itemsize)
-                    for doc_id, value in zip(ids[lo : lo + 512], enc(texts[lo : lo + 512]), strict=True):
+                    for doc_id, value in zip(ids, enc([t or "" for t in texts]), strict=True):
                         writer.add(encode_key(doc_id), value + end)
                         if doc_id is None:
                             edges[2] = True

@@ -22,6 +22,19 @@ def test_chunked_encoding_is_exact():
         assert [np.frombuffer(b, enc.dtype).tolist() for b in enc(TEXTS)] == [ids_of(tok, t)[:-1] for t in TEXTS]
 
 
+def test_a_chunk_met_in_every_batch_is_encoded_once(monkeypatch):
+    monkeypatch.setattr(S, "CACHE_CHUNKS", 100)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok, sent = S.ChunkEncoder(path), Tokenizer.from_file(path), []
+    pack = enc._pack_chunks
+    monkeypatch.setattr(enc, "_pack_chunks", lambda chunks: sent.extend(chunks) or pack(chunks))
+    for k in range(30):
+        text = "a common " + " ".join(f"w{k}x{i}" for i in range(20))
+        assert np.frombuffer(enc([text])[0], enc.dtype).tolist() == ids_of(tok, text)[:-1]
+    assert sent.count("common") == 1 and len(sent) == 601
+    assert len(enc.tail) + len(enc.old) + len(enc.head) <= 150
+
+
 def test_round_trip_and_lookup(spark, tmp_path):
     rows = [(7 * i % 1000 - 300, f"text number {i} " + "x y z " * (i % 50)) for i in range(1000)] + [(5, None), (None, "no id"), (10**15, "far")]
     docs = docs_frame(spark, rows)
