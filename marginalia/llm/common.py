@@ -40,12 +40,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 #: Tables written by staged and not dropped yet.
 _STAGED: list[str] = []
+#: A small table has a file for so many shuffle partitions.
+PARTITIONS_A_FILE = 32
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: a cut of lineage that
-    outlives lost executors and lets later passes prune columns.  It stays until drop_staged."""
-    path = fresh_path(df.sparkSession, label)
+    outlives lost executors and lets later passes prune columns.  It stays until drop_staged.
+
+    small: a table of a few rows a group, which is dealt to few files.  Without Hadoop's native library an
+    executor starts three processes for each file, each of which shows the whole memory of the executor as its
+    own until it has loaded its program."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    if small:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE))
     df.write.parquet(path)
     _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

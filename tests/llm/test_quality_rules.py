@@ -1,9 +1,11 @@
+import glob
 import random
 import re
 
 from pyspark.sql import functions as F
 
 from marginalia.llm import quality_rules as Q
+from marginalia.llm.common import staged_since, staged_so_far
 from tests.llm.helpers import docs_frame, odd_docs
 
 
@@ -115,3 +117,18 @@ def test_odd_rows(spark):
     assert Q.quality_report(df).count() == 9
     assert Q.keep_good(df).columns == df.columns
     assert Q.keep_good(df.where(F.lit(False))).count() == 0
+
+
+def test_small_tables_have_few_files(spark):
+    docs = docs_frame(spark, [(i, " ".join(f"w{i}x{k}" for k in range(60)), f"l{i % 7}", f"s{i % 40}") for i in range(300)])
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, old = staged_so_far(), {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert Q.quality_report(docs).where("kept").count() == 300
+        files = {p.rsplit("marginalia-")[-1].split("-")[0]: len(glob.glob(f"{p.removeprefix('file:')}/part-*")) for p in staged_since(before)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert files["quantiles"] <= 2 and files["fences"] <= 2
