@@ -30,12 +30,15 @@ Other columns are not read.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import struct
 import sys
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -55,12 +58,49 @@ DEALT = 64
 CACHE_CHUNKS = 500_000
 #: Chunks encoded as one text.
 JOINED_CHUNKS = 512
+#: Latin letters, which the usual pattern of a byte-level BPE never cuts.
+LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+LETTERS_AND_SPACES = re.compile(LETTERS.pattern.replace("[", "[ "))
+
+
+def _byte_letters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary, by byte."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _letter_tokenizer(tok):
+    """tok for chunks of letters, written in the characters of its vocabulary and cut before each space only, which
+    saves its pattern and its mapping of bytes; None where tok has other parts than those of a byte-level BPE."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    parts = json.loads(tok.to_str())
+    kind, model = parts["pre_tokenizer"] or {}, parts["model"]
+    usual = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+    if not usual or parts["normalizer"] or model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout"):
+        return None
+    out = Tokenizer(tok.model)
+    out.pre_tokenizer = pre_tokenizers.Split(BYTE_LETTERS[32], "merged_with_next")
+    return out
 
 
 #: Stands in tail for the first part of a text, whose ids come from head.
 _FIRST = object()
 
 
+def _lettered(chunks: set[str]) -> list[str]:
+    """The chunks that are Latin letters throughout, those of ASCII last."""
+    out = list(filter(str.isalpha, chunks))
+    if not LETTERS.fullmatch("".join(out)):
+        out = [x for x in out if LETTERS.fullmatch(x)]
+    out.sort(key=str.isascii)
+    return out
+
+
 class ChunkEncoder:
     """Encodes texts with a tokenizer, remembering the ids of chunks.
 
@@ -87,6 +127,7 @@ class ChunkEncoder:
         self.tail: dict[str, bytes | None] = {}
         #: The tail before this one; what is met again moves on.
         self.old: dict[str, bytes | None] = {}
+        self.letter_tok = _letter_tokenizer(self.tok)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
@@ -102,7 +143,11 @@ class ChunkEncoder:
         out: list[bytes] = []
         for lo in range(0, len(chunks), JOINED_CHUNKS):
             part = chunks[lo : lo + JOINED_CHUNKS]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            tok, text = self.tok, " " + " ".join(part)
+            if self.letter_tok is not None and LETTERS_AND_SPACES.fullmatch(text):
+                tok = self.letter_tok
+                text = text.replace(" ", BYTE_LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.spaced[ids])
             if len(at) != len(part) or (len(at) and at[0]):
                 out += self._pack([" " + x for x in part])
@@ -122,20 +167,22 @@ class ChunkEncoder:
         firsts = [p[0] for p in parts]
         heads = list(set(firsts).difference(self.head))
         self.head.update(zip(heads, self._pack(heads), strict=True))
-        self.tail[_FIRST] = b""
+        self.tail[_FIRST] = b""  # alone it comes as itself, which joins to nothing too
         for p in parts:
             p[0] = _FIRST
         missing = set().union(*parts).difference(self.tail)
         fresh = missing.difference(self.old)
         again = missing - fresh
         self.tail.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        good = _lettered(fresh)
+        fresh.difference_update(good)
         odd = {x for x in fresh if not x or x[0].isspace()}
         self.tail.update(dict.fromkeys(odd))
-        good = list(fresh - odd)
+        good += fresh - odd
         self.tail.update(zip(good, self._pack_chunks(good), strict=True))
         for i, first, p in zip(plain, firsts, parts, strict=True):
             try:
-                out[i] = self.head[first] + b"".join(map(self.tail.__getitem__, p))
+                out[i] = self.head[first] + b"".join(itemgetter(*p)(self.tail))
             except TypeError:  # None: a space that is no place to cut
                 pass
         whole = [i for i, x in enumerate(out) if x is None]

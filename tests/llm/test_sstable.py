@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -35,6 +36,28 @@ def test_a_chunk_met_in_every_batch_is_encoded_once(monkeypatch):
     assert len(enc.tail) + len(enc.old) + len(enc.head) <= 150
 
 
+def test_chunks_of_letters_are_encoded_without_the_pattern():
+    """Their ids are those of the tokenizer, whatever letters and marks they have; its pattern sees only the others."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok, sent = S.ChunkEncoder(path), Tokenizer.from_file(path), []
+    words = ["plain", "Straße", "éèê", "ÿ", "ɏx", "×", "µm", "ªº", "ŉ", "日本語", "ёж", "naïve.", "it's", "x1", "1x", "a_b", "Ǆ", "ﬁn", "e\u0301", "\u0250", "ab\ncd", "a\u00a0b", "\u0120x", "ACIÓN"]
+    rng = random.Random(3)
+    words += ["".join(chr(rng.choice([rng.randrange(33, 127), rng.randrange(0xA1, 0x260)])) for _ in range(rng.randrange(1, 4))) for _ in range(3000)]
+    words += ["".join(chr(rng.randrange(97, 123)) for _ in range(6)) for _ in range(2000)]
+    words += ["".join(chr(rng.choice([rng.randrange(97, 123), rng.randrange(0xC0, 0x250)])) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts = [" ".join(["x", *words]), " ".join(reversed(words))]
+    class Seen:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(x for t in texts for x in t.split(" "))
+            return tok.encode_batch_fast(texts, **kw)
+
+    enc.tok = Seen()
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc(texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    # Texts of chunks at the border of the kinds hold some of both.
+    assert sum(x.isascii() and x.isalpha() for x in set(sent)) < S.JOINED_CHUNKS < sum(x.isascii() and x.isalpha() for x in set(words))
+
+
 def test_round_trip_and_lookup(spark, tmp_path):
     rows = [(7 * i % 1000 - 300, f"text number {i} " + "x y z " * (i % 50)) for i in range(1000)] + [(5, None), (None, "no id"), (10**15, "far")]
     docs = docs_frame(spark, rows)
