@@ -38,7 +38,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -55,12 +54,14 @@ END_ID = 0
 #: Characters of a text that, after doc_id, decide on its shard.
 DEALT = 64
 #: Distinct chunks remembered by an encoder, about 200 bytes each: half of them new ones, half those before.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 #: Chunks encoded as one text.
 JOINED_CHUNKS = 512
-#: Latin letters, which the usual pattern of a byte-level BPE never cuts.
-LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
-LETTERS_AND_SPACES = re.compile(LETTERS.pattern.replace("[", "[ "))
+#: Bytes of texts whose chunks are numbered together (more for a longer text), and texts whose ids are gathered at once.
+TOGETHER, GATHERED = 16 << 20, 512
+_LATIN, _MARKS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-&(-/:-@[-`{-~"
+#: Latin letters, digits, marks but the apostrophe, and single line ends between them.
+PLAIN = re.compile(rf"[{_LATIN}0-9{_MARKS}]+(?:\n[{_LATIN}0-9{_MARKS}]+)*")
 
 
 def _byte_letters() -> str:
@@ -73,32 +74,57 @@ def _byte_letters() -> str:
 BYTE_LETTERS = _byte_letters()
 
 
-def _letter_tokenizer(tok):
-    """tok for chunks of letters, written in the characters of its vocabulary and cut before each space only, which
-    saves its pattern and its mapping of bytes; None where tok has other parts than those of a byte-level BPE."""
-    from tokenizers import Tokenizer, pre_tokenizers
+def _plain_kinds() -> dict[str, str]:
+    """The kind of each character of a vocabulary that stands for a byte of plain chunks behind a space each."""
+    out = {BYTE_LETTERS[32]: "space", BYTE_LETTERS[10]: "line"}
+    for b in range(33, 256):
+        if b > 127:
+            # First bytes of U+00C0 to U+024F, and bytes that follow.
+            if b < 0xC0 or 0xC3 <= b <= 0xC9:
+                out[BYTE_LETTERS[b]] = "letter"
+        elif PLAIN.fullmatch(chr(b)):
+            out[BYTE_LETTERS[b]] = "letter" if chr(b).isalpha() else "digit" if chr(b).isdigit() else "mark"
+    return out
+
+
+def _keeps_apart(merges: list) -> bool:
+    """Whether no merge joins what the usual pattern of a byte-level BPE cuts in plain chunks behind a space each:
+    letters, digits, marks and line ends from each other, and anything from a space behind it."""
+    kinds = _plain_kinds()
+    for merge in merges:
+        a, b = merge.split(" ") if isinstance(merge, str) else merge
+        if all(x in kinds for x in a + b):
+            x, y = kinds[a[-1]], kinds[b[0]]
+            # Neither two spaces nor a space beside a line end occur.
+            if x != y and x != "space" and (x, y) != ("line", "space"):
+                return False
+    return True
+
+
+def _plain_tokenizer(tok):
+    """tok for plain chunks, written in the characters of its vocabulary, without its pattern, which its merges make
+    needless, and its mapping of bytes; None where tok has other parts than those of a byte-level BPE."""
+    from tokenizers import Tokenizer
 
     parts = json.loads(tok.to_str())
     kind, model = parts["pre_tokenizer"] or {}, parts["model"]
     usual = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
-    if not usual or parts["normalizer"] or model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout"):
+    other = ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "ignore_merges")
+    if not usual or parts["normalizer"] or model["type"] != "BPE" or any(map(model.get, other)) or not _keeps_apart(model["merges"]):
         return None
-    out = Tokenizer(tok.model)
-    out.pre_tokenizer = pre_tokenizers.Split(BYTE_LETTERS[32], "merged_with_next")
-    return out
+    return Tokenizer(tok.model)
 
 
-#: Stands in tail for the first part of a text, whose ids come from head.
-_FIRST = object()
+def _slices(texts) -> Iterator:
+    """Parts of an Arrow array of texts of about TOGETHER bytes."""
+    import pyarrow.compute as pc
 
-
-def _lettered(chunks: set[str]) -> list[str]:
-    """The chunks that are Latin letters throughout, those of ASCII last."""
-    out = list(filter(str.isalpha, chunks))
-    if not LETTERS.fullmatch("".join(out)):
-        out = [x for x in out if LETTERS.fullmatch(x)]
-    out.sort(key=str.isascii)
-    return out
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOGETHER, "right")))
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
 
 
 class ChunkEncoder:
@@ -108,6 +134,8 @@ class ChunkEncoder:
     text may be cut at each such space and the parts encoded apart.  Texts in
     which another space occurs (beside white space or at the end), or that hold
     a special token, go to the tokenizer whole.
+
+    Arrow cuts the texts and numbers their distinct chunks, so that only these become Python's.
     """
 
     def __init__(self, path: str):
@@ -122,12 +150,12 @@ class ChunkEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         #: Whether the token of an id begins with a space.
         self.spaced = np.zeros(size, bool)
-        self.spaced[[i for x, i in self.tok.get_vocab().items() if x.startswith("\u0120")]] = True
+        self.spaced[[i for x, i in self.tok.get_vocab().items() if x.startswith(BYTE_LETTERS[32])]] = True
         self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes | None] = {}
+        self.tail: dict[str, bytes] = {}
         #: The tail before this one; what is met again moves on.
-        self.old: dict[str, bytes | None] = {}
-        self.letter_tok = _letter_tokenizer(self.tok)
+        self.old: dict[str, bytes] = {}
+        self.plain_tok = _plain_tokenizer(self.tok)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
@@ -138,18 +166,27 @@ class ChunkEncoder:
         return [ids.tobytes() for ids in out]
 
     def _pack_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks behind a space each.  They are encoded as one text, which
-        saves a call per chunk, and told apart by the tokens that begin with a space."""
+        """Ids of chunks behind a space each."""
+        plain = [] if self.plain_tok is None else list(filter(PLAIN.fullmatch, chunks))
+        if len(plain) == len(chunks):
+            return self._pack_joined(self.plain_tok, chunks)
+        found = dict(zip(plain, self._pack_joined(self.plain_tok, plain), strict=True))
+        others = [x for x in chunks if x not in found]
+        found.update(zip(others, self._pack_joined(self.tok, others), strict=True))
+        return [found[x] for x in chunks]
+
+    def _pack_joined(self, tok, chunks: list[str]) -> list[bytes]:
+        """Many are encoded as one text, which saves a call per chunk, and told apart by the tokens that begin
+        with a space."""
         out: list[bytes] = []
         for lo in range(0, len(chunks), JOINED_CHUNKS):
             part = chunks[lo : lo + JOINED_CHUNKS]
-            tok, text = self.tok, " " + " ".join(part)
-            if self.letter_tok is not None and LETTERS_AND_SPACES.fullmatch(text):
-                tok = self.letter_tok
-                text = text.replace(" ", BYTE_LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            text = " " + " ".join(part)
+            if tok is self.plain_tok:
+                text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
             ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.spaced[ids])
-            if len(at) != len(part) or (len(at) and at[0]):
+            if len(at) != len(part) or at[0]:
                 out += self._pack([" " + x for x in part])
                 continue
             raw, w = ids.tobytes(), self.dtype.itemsize
@@ -157,37 +194,76 @@ class ChunkEncoder:
             out += [raw[a:b] for a, b in zip(edges, edges[1:])]
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts) -> list[bytes]:
+        """The ids of texts, a list or an Arrow array; null counts as empty."""
+        import pyarrow as pa
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        return [ids for _, part in _slices(texts) for ids in self._encode(part)]
+
+    def _encode(self, texts) -> list[bytes]:
+        import pyarrow.compute as pc
+
         if len(self.tail) + len(self.head) > CACHE_CHUNKS // 2:
             self.head.clear()
             self.old, self.tail = self.tail, {}
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
-        parts = [texts[i].split(" ") for i in plain]
-        firsts = [p[0] for p in parts]
-        heads = list(set(firsts).difference(self.head))
-        self.head.update(zip(heads, self._pack(heads), strict=True))
-        self.tail[_FIRST] = b""  # alone it comes as itself, which joins to nothing too
-        for p in parts:
-            p[0] = _FIRST
-        missing = set().union(*parts).difference(self.tail)
-        fresh = missing.difference(self.old)
-        again = missing - fresh
-        self.tail.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        good = _lettered(fresh)
-        fresh.difference_update(good)
-        odd = {x for x in fresh if not x or x[0].isspace()}
-        self.tail.update(dict.fromkeys(odd))
-        good += fresh - odd
-        self.tail.update(zip(good, self._pack_chunks(good), strict=True))
-        for i, first, p in zip(plain, firsts, parts, strict=True):
-            try:
-                out[i] = self.head[first] + b"".join(itemgetter(*p)(self.tail))
-            except TypeError:  # None: a space that is no place to cut
-                pass
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(whole, self._pack([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for x in self.special:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(texts, " ")
+        first = parts.offsets.to_numpy().astype(np.int64)
+        first -= first[0]
+        numbered = parts.flatten().dictionary_encode()
+        number, chunks = numbered.indices.to_numpy().copy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [chunks[k] for k in number[first[:-1]].tolist()]
+        missing = list(set(heads).difference(self.head))
+        self.head.update(zip(missing, self._pack(missing), strict=True))
+        # Numbers beyond the chunks stand for the first parts of texts.
+        number[first[:-1]] = len(chunks) + np.arange(len(heads))
+        used = np.zeros(len(chunks) + len(heads), bool)
+        used[number] = True
+        ids = list(map(self.tail.get, chunks))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        names = [chunks[k] for k in missing]
+        known = list(map(self.old.get, names))
+        for k, x, own in zip(missing, names, known, strict=True):
+            if own is not None:
+                self.tail[x] = ids[k] = own
+        missing = [k for k, own in zip(missing, known, strict=True) if own is None]
+        # Neither the empty chunk nor one that begins with white space lies behind a place to cut.
+        odd = np.zeros(len(used), bool)
+        odd[[k for k in missing if not chunks[k][:1].strip()]] = True
+        fresh = np.array(missing, np.int64)
+        fresh = fresh[used[fresh] & ~odd[fresh]].tolist()
+        names = [chunks[k] for k in fresh]
+        packed = self._pack_chunks(names)
+        for k, x in zip(fresh, packed, strict=True):
+            ids[k] = x
+        if len(fresh) > CACHE_CHUNKS // 4:
+            # Too many to remember for long: those met twice are likelier to be met again.
+            often = np.bincount(number, minlength=len(used)) > 1
+            fresh = np.array(fresh)[often[fresh]].tolist()
+        self.tail.update((chunks[k], ids[k]) for k in fresh)
+        ids = [x or b"" for x in ids]
+        ids += [self.head[x] for x in heads]
+        whole |= np.logical_or.reduceat(odd[number], first[:-1])
+        # The ids of all chunks side by side; each text's are gathered from there.
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        out: list[bytes] = []
+        for lo in range(0, len(texts), GATHERED):
+            edges = first[lo : lo + GATHERED + 1]
+            part = number[edges[0] : edges[-1]]
+            each = size[part]
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
+            own = flat[np.arange(ends[-1]) + np.repeat(start[part] - ends[:-1], each)]
+            edges = ends[edges - edges[0]].tolist()
+            out += [own[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        again = np.flatnonzero(whole)
+        for k, x in zip(again.tolist(), self._pack(texts.take(again).to_pylist()), strict=True):
+            out[k] = x
         return out
 
 
@@ -377,14 +453,13 @@ def write_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", folder:
         name, edges = f"shard-{part:07d}-{uuid.uuid4().hex[:12]}.sst", [None, None, False]
         try:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    # A batch holds up to 10,000 texts: only these become Python's.
-                    ids, texts = (batch.column(k).slice(lo, 512).to_pylist() for k in (0, 1))
+                for lo, texts in _slices(batch.column(1)):
+                    ids = batch.column(0).slice(lo, len(texts)).to_pylist()
                     if writer is None:
                         fs.create_dir(base, recursive=True)
                         stream = fs.open_output_stream(f"{base}/{name}")
                         writer = ShardWriter(stream, enc.dtype.itemsize)
-                    for doc_id, value in zip(ids, enc([t or "" for t in texts]), strict=True):
+                    for doc_id, value in zip(ids, enc(texts), strict=True):
                         writer.add(encode_key(doc_id), value + end)
                         if doc_id is None:
                             edges[2] = True
@@ -439,6 +514,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def read(batches):
         import pandas as pd
 
+        # All shards are written by now, and Spark keeps this worker for other stages.
+        _ENCODERS.clear()
+        give_back()
         for pdf in batches:
             for path, start in zip(pdf["path"], pdf["start"], strict=True):
                 reader, rows = ShardReader(path), []

@@ -58,6 +58,51 @@ def test_chunks_of_letters_are_encoded_without_the_pattern():
     assert sum(x.isascii() and x.isalpha() for x in set(sent)) < S.JOINED_CHUNKS < sum(x.isascii() and x.isalpha() for x in set(words))
 
 
+def test_chunks_with_marks_digits_and_line_ends_are_encoded_without_the_pattern():
+    """Their ids are those of the tokenizer; its pattern sees only chunks with an apostrophe, other white space or other letters."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok, sent = S.ChunkEncoder(path), Tokenizer.from_file(path), []
+    rng = random.Random(4)
+    signs = [chr(x) for x in range(33, 127) if x != 39]
+    plain = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
+    plain += ["end.\nBegin", "café,\nÉté", "1,000.50%", "(x)", "a\nb\nc", "$$$", "...\n--"]
+    plain += ["".join(rng.choice("abcdeéüß.,;!?#%019\n") for _ in range(rng.randrange(3, 14))).strip("\n").replace("\n\n", "\n") or "x" for _ in range(2000)]
+    plain = [x for x in plain if S.PLAIN.fullmatch(x)]
+    others = ["it's", "a\n\nb", "end\n", "a\tb", "日本", "a\r\nb", "×"]
+    words = plain + others
+    rng.shuffle(words)
+    texts = [" ".join(["x", *words[k : k + 50]]) for k in range(0, len(words), 50)]
+
+    class Seen:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    enc.tok = Seen()
+    assert len(plain) > 3000
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {x for t in sent for x in t.split(" ")} <= {"", "x", *others}
+
+
+def test_merges_across_the_cuts_of_the_pattern_are_noticed():
+    space, line = S.BYTE_LETTERS[32], S.BYTE_LETTERS[10]
+    assert S._keeps_apart([["a", "b"], [space, "a"], [space, "."], "1 2", [".", ","], ["'", "s"], [line, space]])
+    for merge in (["a", "."], ["1", "a"], [".", line], ["a", space], "a " + space + "b", [".", "Ã"]):
+        assert not S._keeps_apart([merge])
+
+
+def test_slices_and_many_chunks_give_the_same_ids(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok = S.ChunkEncoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(S, "CACHE_CHUNKS", 40)
+    monkeypatch.setattr(S, "TOGETHER", 500)
+    monkeypatch.setattr(S, "GATHERED", 3)
+    texts = [None, *TEXTS, *(" ".join(f"w{i * k % 97}" for k in range(i)) for i in range(60)), None]
+    for _ in range(2):
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc(texts)] == [ids_of(tok, t)[:-1] for t in texts]
+    assert enc([]) == []
+
+
 def test_round_trip_and_lookup(spark, tmp_path):
     rows = [(7 * i % 1000 - 300, f"text number {i} " + "x y z " * (i % 50)) for i in range(1000)] + [(5, None), (None, "no id"), (10**15, "far")]
     docs = docs_frame(spark, rows)
@@ -106,3 +151,12 @@ def test_odd_rows(spark):
     rows = S.token_output(odd_docs(spark)).collect()
     assert len(rows) == 9 and sum(r["n_tokens"] == 1 for r in rows) == 3
     assert S.token_output(odd_docs(spark).where(F.lit(False))).count() == 0
+
+
+def test_workers_that_read_let_go_of_the_encoder(spark, tmp_path, monkeypatch):
+    shards = S.write_shards(docs_frame(spark, [(i, f"text {i}") for i in range(20)]), folder=str(tmp_path / "sst"))
+    frame = shards.toPandas()
+    monkeypatch.setattr(type(shards), "mapInPandas", lambda self, read, schema: read)
+    read = S.read_shards(shards)
+    S._encoder("byte_bpe_50k.json")
+    assert sum(len(x) for x in read([frame])) == 20 and not S._ENCODERS
