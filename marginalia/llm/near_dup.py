@@ -56,6 +56,8 @@ MOST = 120
 #: Texts of more shingles have the sketches of this number, which suffice for them.
 LONG = 400
 SMALL = 8
+#: Rows of a batch whose texts are Python's at a time.
+PART = 512
 #: Lengths whose ratio is below this share a band in the exact way.
 BAND = 1.1
 #: Up to so many rows of a few longs (under 64 bytes each) are broadcast.
@@ -165,17 +167,27 @@ def _shingles_of(texts: list[str]):
                 yield labelled_shingles(hashes[first[k] : first[k + 1]])
 
 
+def _parts(batches):
+    """The Arrow batches, which hold up to 10,000 texts, in parts whose texts may become Python's together."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PART):
+            yield batch.slice(lo, PART)
+        del batch
+        give_back()
+
+
 def _sketch(batches):
-    import pandas as pd
+    import pyarrow as pa
 
-    for pdf in batches:
+    for part in _parts(batches):
         n, keys = [], []
-        for x in _shingles_of(pdf["text"].tolist()):
+        for x in _shingles_of(part.column("text").to_pylist()):
             n.append(len(x))
             keys.append(bucket_keys(x))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tkey": pdf["tkey"], "n": n, "keys": keys})
-        del pdf, n, keys
-        give_back()
+        ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys), pa.int64()))
+        columns = {"doc_id": part.column("doc_id"), "tkey": part.column("tkey"), "n": pa.array(n, pa.int32()), "keys": lists}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def has_words(text: Column) -> Column:
@@ -187,20 +199,19 @@ def text_key(text: Column) -> Column:
 
 
 def _verify(batches):
-    import pandas as pd
+    import pyarrow as pa
 
     known: dict[int, np.ndarray] = {}
-    for pdf in batches:
+    for part in _parts(batches):
         ok = []
-        for hub, own, other in zip(pdf["hub"], pdf["hub_text"], _shingles_of(pdf["text"].tolist()), strict=True):
+        hubs, own_texts, texts = (part.column(x).to_pylist() for x in ("hub", "hub_text", "text"))
+        for hub, own, other in zip(hubs, own_texts, _shingles_of(texts), strict=True):
             if hub not in known:
                 if len(known) > 64:
                     known.clear()
                 known[hub] = next(_shingles_of([own]))
             ok.append(similar(known[hub], other))
-        yield pdf.loc[ok, ["node", "hub"]] if ok else pd.DataFrame({"node": [], "hub": []}).astype("int64")
-        del pdf
-        give_back()
+        yield part.select(["node", "hub"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -255,7 +266,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     (with that doc_id), node, and label, the node that stands for its class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(has_words(F.col("text"))).withColumn("tkey", text_key(F.col("text")))
-    slim = staged(rows.mapInPandas(_sketch, "doc_id long, tkey binary, n int, keys array<long>"), "sketch")
+    slim = staged(rows.mapInArrow(_sketch, "doc_id long, tkey binary, n int, keys array<long>"), "sketch")
     ids = (
         slim.groupBy("tkey", "doc_id").agg(F.count("*").alias("rows"))
         .groupBy("tkey").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("least"))
@@ -417,7 +428,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         .select("hub", "hub_text", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"))
     )
     both = own.select("node", "hub", "salt", "text").join(hub_texts, ["hub", "salt"])
-    return staged(both.select("node", "hub", "text", "hub_text").mapInPandas(_verify, "node long, hub long"), "links")
+    return staged(both.select("node", "hub", "text", "hub_text").mapInArrow(_verify, "node long, hub long"), "links")
 
 
 def _with_survivors(texts: DataFrame) -> DataFrame:

@@ -185,3 +185,20 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
     assert N.near_duplicates(df.where(F.lit(False))).count() == 0
+
+
+def test_texts_become_pythons_in_parts():
+    """Each part of an Arrow batch comes out before the next is read, with the rows and keys of the whole."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k * i % 89}" for k in range(i % 40)) for i in range(2000)] + [None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(2001), pa.int64()), "text": pa.array(texts), "tkey": pa.array([b"k"] * 2001)})
+    out = list(N._sketch([batch, batch.slice(0, 0)]))
+    assert max(x.num_rows for x in out) <= N.PART < 2001 == sum(x.num_rows for x in out)
+    rows = [r for x in out for r in x.to_pylist()]
+    want = [N.bucket_keys(x) for x in N._shingles_of([t or "" for t in texts])]
+    assert [r["keys"] for r in rows] == [x.tolist() for x in want] and [r["doc_id"] for r in rows] == list(range(2001))
+    same = pa.RecordBatch.from_pydict({"node": pa.array(range(2001), pa.int64()), "hub": pa.array([7] * 2001, pa.int64()), "text": pa.array(texts), "hub_text": pa.array([texts[39]] * 2001)})
+    found = [r for x in N._verify([same]) for r in x.to_pylist()]
+    hub = next(N._shingles_of([texts[39]]))
+    assert found == [{"node": i, "hub": 7} for i, x in enumerate(N._shingles_of([t or "" for t in texts])) if N.similar(hub, x)]
